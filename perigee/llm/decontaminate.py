@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perigee.llm.shared import bytes_of
+from perigee.llm.shared import bytes_of, filter_rows
 
 #: Bytes of words as they are (A-Z lowered), every other byte a blank.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -110,17 +110,12 @@ def _original(text: bytes, hit: np.ndarray) -> list[dict[str, int]]:
     return [{"start": chars(at[a][0]), "end": chars(at[b - 1][1])} for a, b in zip(turn[::2], turn[1::2], strict=True)]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_chars: int = 6_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, item_ids, spans) of each row of docs.
-
-    The benchmark is read in shards whose windows have about `max_chars` characters (its size is checked
-    first). Nothing of the documents is shuffled, however many shards there are.
-    """
-    spark = docs.sparkSession
+def _shards(benchmark: DataFrame, window: int, max_chars: int, item_col: str, item_text: str) -> Iterator:
+    """Broadcast patterns of the benchmark, in shards of bounded size; one shard where it is small."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.coalesce(benchmark[item_col].cast("string"), F.lit("")).alias("item"), benchmark[item_text].cast("binary").alias("text")).where(F.col("text").isNotNull())
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, math.ceil(size * window / max_chars))
-    out = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("binary").alias("text"), F.lit(b"").alias("marks"), F.array().cast("array<string>").alias("item_ids"))
     for s in range(shards):
         mine = items if shards == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == s)
         names: dict[str, int] = {}
@@ -131,12 +126,42 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                 patterns.setdefault(p, set()).add(i)
         pairs = sorted((p, tuple(sorted(x))) for p, x in patterns.items())
         key = hashlib.sha256(repr((list(names), pairs)).encode()).hexdigest()
-        shared = spark.sparkContext.broadcast((key, list(names), pairs))
-        last = s == shards - 1
+        yield spark.sparkContext.broadcast((key, list(names), pairs))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_chars: int = 6_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, n_words, n_hit, item_ids, spans) of each row of docs.
+
+    The benchmark is read in shards whose windows have about `max_chars` characters (its size is checked
+    first). Nothing of the documents is shuffled, however many shards there are.
+    """
+    shards = list(_shards(benchmark, window, max_chars, item_col, item_text))
+    out = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("binary").alias("text"), F.lit(b"").alias("marks"), F.array().cast("array<string>").alias("item_ids"))
+    for i, shared in enumerate(shards):
+        last = i == len(shards) - 1
         out = out.mapInArrow(_scanner(shared, last), HITS_SCHEMA if last else "doc_id long, text binary, marks binary, item_ids array<string>")
     return out
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_chars: int = 6_000_000, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs in which no window occurs, with all their columns."""
+    for shared in _shards(benchmark, window, max_chars, item_col, item_text):
+        docs = filter_rows(docs, text_col, _clean(shared))
+    return docs
+
+
+def _clean(shared) -> Callable:
+    def keep(texts: list[bytes]) -> list[bool]:
+        key, _, patterns = shared.value
+        if not patterns:
+            return [True] * len(texts)
+        auto = _automaton(key, patterns)
+        flat = ((b" " + b" ".join(words(t)) + b" ").decode("latin-1") for t in texts)
+        return [next(auto.iter(f), None) is None for f in flat]
+
+    return keep
+
+
 def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """One row per document: counts, the digest of the items found and whether any window occurs."""
     hits = find_contamination(docs, benchmark, **options)

@@ -148,3 +148,18 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 <
             size += len(t)
         if lo < len(texts):
             yield b.slice(lo), texts[lo:]
+
+
+def filter_rows(docs: DataFrame, text_col: str, keep) -> DataFrame:
+    """The rows of docs for which keep(texts as bytes, null as empty) says True, all columns as they are.
+
+    Rows stay in their partitions; nothing is shuffled.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(np.asarray(keep(bytes_of(b.column(at))), dtype=bool)))
+
+    return docs.mapInArrow(run, docs.schema)
