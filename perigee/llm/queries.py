@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perigee.llm import chat, decontaminate, exact_dedup, language, packing, quality, simhash, toxicity
+from perigee.llm import chat, decontaminate, exact_dedup, language, ngrams, packing, quality, simhash, toxicity
 from perigee.llm.shared import held_out
 
 
@@ -59,6 +59,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_t(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score_documents(_t(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 7, 2))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_t(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_toxicity": op6_toxicity,
     "op8_simhash": op8_simhash,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
