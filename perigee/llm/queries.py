@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perigee.llm import chat, decontaminate, exact_dedup, language, ngrams, packing, quality, simhash, toxicity
+from perigee.llm import chat, decontaminate, exact_dedup, language, ngrams, packing, quality, simhash, substrings, toxicity
 from perigee.llm.shared import held_out
 
 
@@ -55,6 +55,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, machine).select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op7_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_t(spark, sf_dir, "documents"), 400).drop("removed")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_t(spark, sf_dir, "documents"), shingle=3, radius=2)
 
@@ -74,6 +78,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_toxicity": op6_toxicity,
+    "op7_repeated_substrings": op7_repeated_substrings,
     "op8_simhash": op8_simhash,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_exact_dedup": op10_exact_dedup,
