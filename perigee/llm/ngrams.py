@@ -16,7 +16,7 @@ bounded); those are broadcast as a table. The model takes other counts from the
 which asks for exact ones, other tokens are joined with their counts.
 
 The filter grows with the number of distinct bigrams, up to `max_filter_bytes`, which bounds the broadcast;
-beyond it no bigram is dropped, but the error rate rises (at 8 bits per entry: 0.02 per level).
+beyond it no bigram is dropped, but the error rate rises (at 10 bits per entry: 0.03 per level).
 
 Defined results: null text is empty, and an empty text is the end token alone; tokens are the words between
 ASCII white space, A-Z lowered, then one end; without training texts every count is zero; repeated rows get
@@ -134,7 +134,7 @@ class Filter:
         return q
 
 
-def _slices(texts: list[bytes], most: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def _slices(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     lo = size = 0
     for i, t in enumerate(texts):
         if size and size + len(t) > most:
@@ -187,7 +187,7 @@ def _count_bigrams(segments: int) -> Callable:
                 h, c = np.unique(sent(Stream(texts).bigrams()), return_counts=True)
                 held.append((h, c))
                 size += len(h)
-                if size > 6_000_000:  # what one task holds doesn't grow with its input
+                if size > 1_500_000:  # what one task holds doesn't grow with its input
                     yield from _blocks(f, *_merged(held))
                     held, size = [], 0
         if size:
@@ -270,7 +270,7 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         for t in bytes_of(b.column(0)):
             held.update(tokens(t))
-            if len(held) > 600_000:
+            if len(held) > 300_000:
                 yield from out(held)
                 held = Counter()
     yield from out(held)
