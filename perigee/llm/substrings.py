@@ -203,26 +203,63 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial += b.num_rows
 
 
+#: Bits of a set of documents: eight for each, up to 2**29 (64 MB).
+MOST_BITS = 1 << 29
+
+
+class DocumentSet:
+    """A broadcast bitmap over hashed document keys, of bounded size. It may hold more documents than were
+    put in, never fewer: with it, texts that need no shuffle stay where they are. It only saves work."""
+
+    def __init__(self, keys: DataFrame, n_docs: int):
+        bits = 1 << 15
+        while bits < min(8 * n_docs, MOST_BITS):
+            bits *= 2
+        place = (F.expr("shiftright(doc, 40)") * 1000003 + F.expr("doc & 1099511627775")) % F.lit(bits)
+        blocks = keys.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("block")).agg(F.bitmap_construct_agg(F.expr("p % 32768")).alias("bitmap"))
+        data = np.zeros(bits // 8, np.uint8)
+        for r in blocks.toLocalIterator():
+            data[r["block"] * 4096 : (r["block"] + 1) * 4096] = np.frombuffer(r["bitmap"], np.uint8)
+        self.bits, self.shared = bits, keys.sparkSession.sparkContext.broadcast(data)
+
+    def has(self, doc: np.ndarray) -> np.ndarray:
+        at = ((doc >> 40) * 1000003 + (doc & 1099511627775)) % self.bits
+        return (self.shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+    def split(self, rows: DataFrame, inside: bool) -> DataFrame:
+        """The rows (doc first) inside or outside the set, without a shuffle."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    yield b.filter(pa.array(self.has(b.column(0).to_numpy()) == inside))
+
+        return rows.mapInArrow(run, rows.schema)
+
+
 def remove_repeats(docs: DataFrame, length: int = 400, slack: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed) of each row of docs."""
-    slack = slack or max(1, min(length // 2, 200))
+    slack = slack or max(1, min(length // 2, 120))
+    n_docs = docs.count()
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("binary"), F.lit(b"")).alias("text")).mapInArrow(_number, "doc long, doc_id long, text binary")
     texts = rows.select("doc", "text")
     digests = rows.where(F.length("text") >= length).select("doc", F.unhex(F.sha2("text", 256)).alias("digest"))
-    copies = digests.join(digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "digest").select("doc", F.lit(True).alias("copied"))
+    copies = materialize(digests.join(digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "digest").select("doc"))
 
-    found = _repeated_cores(texts.mapInArrow(_emit_anchors(length, slack), "doc long, core long, whole long, lo int, hi int"))
-    found = materialize(found)
+    found = materialize(_repeated_cores(texts.mapInArrow(_emit_anchors(length, slack), "doc long, core long, whole long, lo int, hi int")))
     sure = found.where("same > 1").select("doc", "lo", "hi")
-    unsure = found.where("same = 1 OR nth = 1 AND same < cores").groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    strings = materialize(texts.join(unsure, "doc").mapInArrow(_emit_strings(length), "doc long, lo int, x long, y long"))
-    twice = strings.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x", "y")
-    single = strings.join(twice, ["x", "y"], "left_semi").select("doc", "lo", F.col("lo").alias("hi"))
-
-    starts = sure.unionByName(single).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
-    marks = copies.join(starts, "doc", "full")
-    whole = rows.join(marks, "doc", "left").select("doc_id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "starts")
-    return whole.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>")
+    unsure = found.where("same = 1 OR nth = 1 AND same < cores")
+    asked = DocumentSet(unsure.select("doc"), n_docs).split(texts, True).join(unsure.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "doc")
+    strings = asked.mapInArrow(_emit_strings(length), "doc long, lo int, x long, y long")
+    again = strings.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("x", "y"))).where("n > 1").select("doc", "lo", F.col("lo").alias("hi"))
+
+    starts = sure.unionByName(again).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
+    marks = materialize(copies.withColumn("copied", F.lit(True)).join(starts, "doc", "full"))
+    touched = DocumentSet(marks.select("doc"), n_docs)
+    cut = touched.split(rows, True).join(marks, "doc", "left").select("doc_id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "starts")
+    whole = touched.split(rows, False).select("doc_id", "text", F.lit(False).alias("copied"), F.lit(None).cast(cut.schema["starts"].dataType).alias("starts"))
+    kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>"
+    return whole.mapInArrow(_cut(length), kind).unionByName(cut.mapInArrow(_cut(length), kind))
 
 
 def _repeated_cores(found: DataFrame) -> DataFrame:
