@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perigee.llm import chat, decontaminate, exact_dedup, language, ngrams, packing, quality, simhash, substrings, toxicity
-from perigee.llm.shared import held_out
+from perigee.llm.shared import held_out, small_batches
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

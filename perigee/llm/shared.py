@@ -34,6 +34,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of fewer rows: whole documents are long, and each Python node of a task holds a batch on
+    either side."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def bytes_of(col: pa.Array) -> list[bytes]:
     """The values of a string or binary column as bytes; null is empty."""
     kind = pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()
