@@ -16,7 +16,7 @@ bounded); those are broadcast as a table. The model takes other counts from the
 which asks for exact ones, other tokens are joined with their counts.
 
 The filter grows with the number of distinct bigrams, up to `max_filter_bytes`, which bounds the broadcast;
-beyond it no bigram is dropped, but the error rate rises (at 10 bits per entry: 0.03 per level).
+beyond it no bigram is dropped, but the error rate rises (at 8 bits per entry: 0.05 per level).
 
 Defined results: null text is empty, and an empty text is the end token alone; tokens are the words between
 ASCII white space, A-Z lowered, then one end; without training texts every count is zero; repeated rows get
@@ -236,7 +236,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([int(n)], pa.int64())], names=["n"])
 
 
-def build_filter(texts: DataFrame, counts: DataFrame, bits_per_entry: float = 10.0, entries_per_byte: float = 0.11, max_filter_bytes: int = 256 << 20, segment_bytes: int = 1 << 18) -> Filter:
+def build_filter(texts: DataFrame, counts: DataFrame, bits_per_entry: float = 8.0, entries_per_byte: float = 0.11, max_filter_bytes: int = 256 << 20, segment_bytes: int = 1 << 18) -> Filter:
     """Learn all bigrams of a frame of one binary column, and the unigrams of (token, c).
 
     The size comes from the number of text bytes, at about `entries_per_byte` memberships each. A segment's
@@ -413,6 +413,7 @@ def score_documents(docs: DataFrame, held: Column, id_col: str = "doc_id", text_
     ll = np.zeros((CLASSES, len(WEIGHTS)))
     for r in sample.mapInArrow(_tune(shared), "class int, weight int, ll double").groupBy("class", "weight").agg(F.sum("ll").alias("ll")).collect():
         ll[r["class"], r["weight"]] = r["ll"]
+    shared.unpersist()
     model.weights = WEIGHTS[len(WEIGHTS) - 1 - ll[:, ::-1].argmax(axis=1)]
     shared = spark.sparkContext.broadcast((model, key, words, tops))
     scored = rows.mapInArrow(_score(shared), ROW)
