@@ -50,10 +50,13 @@ class Engine:
         if key not in self._views:
             w = self.store.read("works").join(self.store.read("scores"), "id").where("NOT is_baseline")
             p = self.params
-            hit = filters.interest_location(list(p.queries), search_text("title"), search_text("abstract"), F.lit("")).isNotNull() if p.queries else F.lit(False)
-            keep = filters.passes(p, F.col("language"), F.col("field_id") if "field_id" in w.columns else F.lit(None).cast("string"), F.col("subfield"), search_text("title"), search_text("abstract"), F.lit(""))
+            w = filters.with_tokens(w.withColumns({"title_s": search_text("title"), "abstract_s": search_text("abstract")}), "title_s", "abstract_s")
+            hit = filters.interest_location(list(p.queries), "title_s", "abstract_s").isNotNull() if p.queries else F.lit(False)
+            field = F.col("field_id") if "field_id" in w.columns else F.lit(None).cast("string")
+            keep = filters.passes(p, F.col("language"), field, F.col("subfield"), "title_s", "abstract_s")
             roster = authorship.on_roster(self.store.read("authorships"), authorship.roster(self.store.read("authors"))).withColumn("override", F.lit(True))
-            self._views[key] = w.where(keep).withColumn("matched", hit).join(roster, "id", "left").withColumn("override", F.coalesce("override", F.lit(False))).persist()
+            w = w.where(keep).withColumn("matched", hit).drop("title_s", "abstract_s", "title_s_tokens", "abstract_s_tokens")
+            self._views[key] = w.join(roster, "id", "left").withColumn("override", F.coalesce("override", F.lit(False))).persist()
         return self._views[key]
 
     def feed(self, as_of: date, window: str | None = None, sort: str | None = None, offset: int = 0, limit: int = 120) -> DataFrame:

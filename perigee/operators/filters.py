@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perigee.functions.constants import CATEGORY_EVIDENCE, GLOSSARY, JOINERS, QUERY_STOP_WORDS
@@ -69,12 +69,21 @@ def any_of(queries: list[str], token: Column) -> Column:
     return hit
 
 
-def matches(normalized: Column, query: str) -> Column:
-    """Whether a search text is about a query: phrase, acronym, initials, derived acronym or proximity."""
+def with_tokens(rows: DataFrame, *columns: str) -> DataFrame:
+    """Adds <column>_tokens for search texts. A generator keeps the arrays from being computed anew inside
+    each lambda, as they would be if projections were merged."""
+    for c in columns:
+        rows = rows.select("*", F.explode(F.array(F.filter(F.split(c, " "), lambda t: t != ""))).alias(f"{c}_tokens"))
+    return rows
+
+
+def matches(name: str, query: str) -> Column:
+    """Whether a search text (a column that with_tokens() has seen) is about a query: phrase, acronym,
+    initials, derived acronym or proximity."""
     q = search_text(query).split()
     if not q:
         return F.lit(True)
-    tokens = F.filter(F.split(normalized, " "), lambda t: t != "")
+    normalized, tokens = F.col(name), F.col(f"{name}_tokens")
     hit = contains_phrase(tokens, q)
     if len(q) == 1 and q[0].isalpha() and 2 <= len(q[0]) <= 6:
         if q[0] in GLOSSARY:
@@ -90,13 +99,15 @@ def matches(normalized: Column, query: str) -> Column:
     return hit | proximity(tokens, q)
 
 
-def interest_location(queries: list[str], title: Column, abstract: Column, labels: Column) -> Column:
+def interest_location(queries: list[str], title: str = "title", abstract: str = "abstract", labels: str | None = None) -> Column:
     """(query, location) of the first query that matches the title, the abstract or the labels; else null.
-    The columns are search texts."""
+    The names are of search texts that with_tokens() has seen."""
     out = None
     for q in queries:
         for name, col in (("title", title), ("abstract", abstract), ("topic", labels)):
-            test = matches(col, q) if name != "topic" else (col != "") & matches(col, q)
+            if col is None:
+                continue
+            test = matches(col, q) if name != "topic" else (F.col(col) != "") & matches(col, q)
             hit = F.struct(F.lit(q).alias("query"), F.lit(name).alias("location"))
             out = F.when(test, hit) if out is None else out.when(test, hit)
     return out if out is not None else F.lit(None).cast("struct<query:string,location:string>")
@@ -131,8 +142,8 @@ def in_scope(p: QueryParams, language: Column, field_id: Column, subfield_id: Co
     return ok & F.coalesce(category, F.lit(False))
 
 
-def passes(p: QueryParams, language: Column, field_id: Column, subfield_id: Column, title: Column, abstract: Column, labels: Column, codes: Column | None = None) -> Column:
-    """The composite filter; title, abstract and labels are search texts."""
+def passes(p: QueryParams, language: Column, field_id: Column, subfield_id: Column, title: str = "title", abstract: str = "abstract", labels: str | None = None, codes: Column | None = None) -> Column:
+    """The composite filter; title, abstract and labels name search texts that with_tokens() has seen."""
     text = F.concat_ws(" ", title, abstract)
     ok = in_scope(p, language, field_id, subfield_id, codes) & category_evidence(subfield_id, text)
     scoped = p.fields or p.subfields or p.groups or p.codes

@@ -17,6 +17,10 @@ def norm(expr: str) -> str:
     return f"trim(regexp_replace(lower({expr}), '[^a-z0-9]+', ' ', 'g'))"
 
 
+def split_sql(text: str) -> str:
+    return f"list_filter(string_split({text}, ' '), lambda x: x <> '')"
+
+
 #: Relations that queries share, in order of dependence.
 CTES = {
     "works": """
@@ -158,6 +162,7 @@ CTES["gate"] = """
   SELECT *, 0.72::DOUBLE * greatest(novelty, authorship) + 0.28::DOUBLE * least(novelty, authorship) AS discovery
   FROM (SELECT w.id, r.first_release, CAST(w.id * 7919 % 1000 AS DOUBLE) / 10 AS novelty, CAST(w.id * 104729 % 1000 AS DOUBLE) / 10 AS authorship, w.id % 97 = 0 AS override FROM works w JOIN released r USING (id) WHERE NOT is_baseline)"""
 CTES["search"] = f"SELECT id, language, subfield, domain, {norm('title')} AS title, {norm('abstract')} AS abstract FROM works"
+CTES["split"] = f"SELECT *, {split_sql('title')} AS title_t, {split_sql('abstract')} AS abstract_t, {split_sql("subfield || ' ' || domain")} AS labels_t FROM search"
 CTES["scope"] = "SELECT *, 'https://x.org/fields/' || (id % 6) AS field_id, CASE WHEN id % 4 = 0 THEN 'https://x.org/subfields/1702' ELSE '17' || (id % 40) END AS subfield_id, CASE WHEN id % 8 = 0 THEN title || ' deep learning' ELSE title END AS topic_title FROM search"
 
 _NEEDS: dict[str, set[str]] = {}
@@ -218,15 +223,14 @@ def phrase_sql(tokens: str, query: list[str]) -> str:
     return f"len(list_filter(range(1, greatest(1, len({tokens}) - {len(query)} + 2)), lambda i: {test})) > 0"
 
 
-def match_sql(text: str, query: str) -> str:
-    """Interest match over a search text."""
+def match_sql(t: str, query: str) -> str:
+    """Interest match over a column of tokens of a search text."""
     q = search_text(query).split()
-    t = f"list_filter(string_split({text}, ' '), lambda x: x <> '')"
     tests = [phrase_sql(t, q)]
     if len(q) == 1 and q[0].isalpha() and 2 <= len(q[0]) <= 6:
         tests += [phrase_sql(t, p.split()) for p in GLOSSARY.get(q[0], ())]
         if q[0] not in GLOSSARY:
-            tests.append(initials_sql(text, q[0]))
+            tests.append(initials_sql(t, q[0]))
     if len(q) > 1:
         known = next((a for a, ps in GLOSSARY.items() if " ".join(q) in ps), "")
         derived = "".join(x[0] for x in q if x not in ("of", "the", "and", "for", "a", "an", "in", "on", "to", "with"))
@@ -238,13 +242,12 @@ def match_sql(text: str, query: str) -> str:
     return "(" + " OR ".join(tests) + ")"
 
 
-def initials_sql(text: str, acronym: str) -> str:
+def initials_sql(t: str, acronym: str) -> str:
     """Initials over tokens without joiners behind the first one: RE2 has no lookahead, so joiners other than
     the first token are taken out; a first token that is a joiner stays a possible start."""
     pattern = "(^| )" + " ".join(f"{c}[a-z0-9]*" for c in acronym) + "( |$)"
     drop = "of the and for a an in on to with".split()
     listed = ", ".join(f"'{w}'" for w in drop)
-    t = f"list_filter(string_split({text}, ' '), lambda x: x <> '')"
     start = f"list_filter(range(1, len({t}) + 1), lambda i: substr({t}[i], 1, 1) = '{acronym[0]}' AND regexp_matches(array_to_string(list_concat([{t}[i]], list_filter({t}[i + 1:], lambda x: x NOT IN ({listed}))), ' '), '^{pattern[6:]}'))"
     return f"len({start}) > 0"
 
@@ -320,7 +323,7 @@ add("dual_gate", f"SELECT id AS doc_id FROM ({gate_sql('gate', 40, 40)})")
 IN90 = "(SELECT * FROM gate WHERE first_release >= DATE '2024-03-31' - 90)"
 for sort, key in (("balanced", "discovery"), ("novelty", "novelty"), ("researcher", "authorship"), ("newest", "first_release")):
     add(f"feed_{sort}", f"SELECT id AS doc_id, strftime(first_release, '%Y-%m-%d') AS first_release, round(novelty, 6) AS novelty, round(authorship, 6) AS authorship, round(discovery, 6) AS discovery FROM ({gate_sql(IN90, 30, 30)}) ORDER BY {key} DESC, id LIMIT 100")
-add("feed_page_two", f"SELECT g.id AS doc_id, hit FROM ({gate_sql(IN90, 10, 10)}) g JOIN (SELECT id, {match_sql('abstract', 'thing')} AS hit FROM search) h USING (id) ORDER BY hit DESC, discovery DESC, g.id LIMIT 20 OFFSET 20")
+add("feed_page_two", f"SELECT g.id AS doc_id, hit FROM ({gate_sql(IN90, 10, 10)}) g JOIN (SELECT id, {match_sql('abstract_t', 'thing')} AS hit FROM split) h USING (id) ORDER BY hit DESC, discovery DESC, g.id LIMIT 20 OFFSET 20")
 BUNDLE = []
 for w, n in (("day", 1), ("3d", 3), ("week", 7), ("2w", 14), ("month", 30), ("3m", 90)):
     rows = f"(SELECT * FROM gate WHERE first_release >= DATE '2024-03-31' - {n})"
@@ -331,25 +334,25 @@ EVIDENCE = "|".join(CATEGORY_EVIDENCE)
 HAS = f"CASE WHEN regexp_extract(subfield_id, '(\\d+)/?$', 1) = '1702' THEN regexp_matches(topic_title || ' ' || abstract, '{EVIDENCE}') ELSE true END"
 IN_SCOPE = "language = 'en' AND (regexp_extract(field_id, '(\\d+)/?$', 1) IN ('3') OR regexp_extract(subfield_id, '(\\d+)/?$', 1) IN ('1702'))"
 add("scope_filter", f"SELECT id AS doc_id FROM scope WHERE {IN_SCOPE} AND {HAS}")
-add("scope_filter_strict", f"SELECT id AS doc_id FROM scope WHERE {IN_SCOPE} AND {HAS} AND ({match_sql('topic_title', 'then thing')} OR {match_sql('abstract', 'then thing')})")
+STRICT = f"SELECT id, {split_sql('topic_title')} AS title_t, {split_sql('abstract')} AS abstract_t FROM scope WHERE {IN_SCOPE} AND {HAS}"
+add("scope_filter_strict", f"SELECT id AS doc_id FROM ({STRICT}) WHERE {match_sql('title_t', 'then thing')} OR {match_sql('abstract_t', 'then thing')}")
 add("secondary_classification", "SELECT id AS doc_id FROM works WHERE id % 5 <> 2")
 add("category_evidence", f"SELECT id AS doc_id, {HAS} AS has_evidence FROM scope")
-WHENS = " ".join(f"WHEN {match_sql(c, q) if n != 'topic' else match_sql(c, q)} THEN '{q}/{n}'" for q in ("thertion ingthes", "rag", "stupid", "of the onther and") for n, c in (("title", "title"), ("abstract", "abstract"), ("topic", "(subfield || ' ' || domain)")))
-add("interest_match", f"SELECT id AS doc_id, split_part(h, '/', 1) AS query, split_part(h, '/', 2) AS location FROM (SELECT id, CASE {WHENS} END AS h FROM search)")
-add("initials_match", f"SELECT conv_id, turn, {initials_sql('t', 'ota')} AS matched FROM (SELECT conv_id, turn, {norm('text')} AS t FROM conversations)")
+WHENS = " ".join(f"WHEN {match_sql(c, q)} THEN '{q}/{n}'" for q in ("thertion ingthes", "rag", "stupid", "of the onther and") for n, c in (("title", "title_t"), ("abstract", "abstract_t"), ("topic", "labels_t")))
+add("interest_match", f"SELECT id AS doc_id, split_part(h, '/', 1) AS query, split_part(h, '/', 2) AS location FROM (SELECT id, CASE {WHENS} END AS h FROM split)")
+add("initials_match", f"SELECT conv_id, turn, {initials_sql('t', 'ota')} AS matched FROM (SELECT conv_id, turn, {split_sql(norm('text'))} AS t FROM conversations)")
 
-add("entity_resolution", f"""
-WITH x AS (
+RESOLVED = f"""
   SELECT w.id, length(abstract) AS n, date, r.first_release, CAST(w.id % 100 AS DOUBLE) AS novelty, CAST(w.id % 37 AS DOUBLE) AS authorship, CAST(w.id % 53 AS DOUBLE) AS discovery, w.id % 3 AS s, w.id % 2 AS u,
     CASE WHEN {norm('title')} <> '' AND w.id % 10 <> 9 THEN 'title:' || {norm('title')} || '|authors:' || language || '|b1'
          WHEN w.id % 20 = 9 THEN 'doi:10.1/' || (w.id % 50)
          WHEN w.id % 40 = 19 AND preprint_id IS NOT NULL THEN 'arxiv:' || regexp_replace(preprint_id, 'v\\d+$', '')
          ELSE 'title:' || {norm('title')} || '|id:' || w.id END AS key
-  FROM works w JOIN released r USING (id)
-)
+  FROM works w JOIN released r USING (id)"""
+add("entity_resolution", f"""
 SELECT key, first(id ORDER BY n DESC, id) AS best_id, count(*) AS n_dups, CAST(min(date) AS VARCHAR) AS min_date, strftime(min(first_release), '%Y-%m-%d') AS first_release, max(novelty) AS novelty, max(authorship) AS authorship, max(discovery) AS discovery,
        first(id ORDER BY novelty DESC, id) AS score_source_id, count(DISTINCT s * 2 + u) AS n_sources, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids
-FROM x GROUP BY key""".replace("WITH x AS", "WITH x AS"))
+FROM ({RESOLVED}) GROUP BY key""")
 add("dedup_last_wins", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
 add("dedup_first_wins", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
 add("lane_union", "SELECT doc_id, CAST(CASE WHEN source = 'src2' THEN 2 WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS lane FROM documents WHERE source IN ('src1', 'src2') OR doc_id % 3 = 0")

@@ -276,7 +276,7 @@ for _sort in ("balanced", "novelty", "researcher", "newest"):
 @query
 def feed_page_two(spark, d):
     """The second page, works about an interest first."""
-    match = views.search_columns(spark, d).select("id", filters.matches(F.col("abstract"), "thing").alias("hit"))
+    match = filters.with_tokens(views.search_columns(spark, d), "abstract").select("id", filters.matches("abstract", "thing").alias("hit"))
     rows = views.gate_rows(spark, d).join(match, "id")
     return feed.feed(rows, views.AS_OF, "3m", "balanced", 10, 10, offset=20, limit=20, matched=F.col("hit")).select(F.col("id").alias("doc_id"), "hit")
 
@@ -299,13 +299,13 @@ def _scope_rows(spark, d):
 @query
 def scope_filter(spark, d):
     rows = _scope_rows(spark, d)
-    return rows.where(filters.passes(SCOPE, F.col("language"), F.col("field_id"), F.col("subfield_id"), F.col("topic_title"), F.col("abstract"), F.lit(""))).select(F.col("id").alias("doc_id"))
+    return rows.where(filters.passes(SCOPE, F.col("language"), F.col("field_id"), F.col("subfield_id"), "topic_title")).select(F.col("id").alias("doc_id"))
 
 
 @query
 def scope_filter_strict(spark, d):
-    rows = _scope_rows(spark, d)
-    return rows.where(filters.passes(STRICT, F.col("language"), F.col("field_id"), F.col("subfield_id"), F.col("topic_title"), F.col("abstract"), F.lit(""))).select(F.col("id").alias("doc_id"))
+    rows = filters.with_tokens(_scope_rows(spark, d), "topic_title", "abstract")
+    return rows.where(filters.passes(STRICT, F.col("language"), F.col("field_id"), F.col("subfield_id"), "topic_title")).select(F.col("id").alias("doc_id"))
 
 
 @query
@@ -326,8 +326,9 @@ INTERESTS = ["thertion ingthes", "rag", "stupid", "of the onther and"]
 
 @query
 def interest_match(spark, d):
-    rows = views.search_columns(spark, d)
-    hit = filters.interest_location(INTERESTS, F.col("title"), F.col("abstract"), F.concat_ws(" ", "subfield", "domain"))
+    rows = views.search_columns(spark, d).withColumn("labels", F.concat_ws(" ", "subfield", "domain"))
+    rows = filters.with_tokens(rows, "title", "abstract", "labels")
+    hit = filters.interest_location(INTERESTS, labels="labels")
     return rows.select(F.col("id").alias("doc_id"), hit.alias("hit")).select("doc_id", F.col("hit.query").alias("query"), F.col("hit.location").alias("location"))
 
 
@@ -526,7 +527,7 @@ def pushed_filter(spark, d):
 def title_lookup(spark, d):
     from perigee.sources.scan import title_lookup as find
 
-    wanted = views.works(spark, d).where("id % 37 = 0").select(F.upper("title").alias("title"), F.col("id").alias("ord"))
+    wanted = views.works(spark, d).where("id % 37 = 0").select(F.concat(F.lit("  "), "title", F.lit(" !")).alias("title"), F.col("id").alias("ord"))
     return find(views.works(spark, d).select("id", "title"), wanted).select("ord", "id")
 
 
