@@ -11,6 +11,7 @@ from perigee.functions.text import search_text
 from perigee.operators import authorship, feed, filters, state
 from perigee.params import QueryParams, horizon_days, scan_due
 from perigee.plans import novelty as plan
+from perigee.session import materialize
 from perigee.sources.store import Store
 
 
@@ -50,7 +51,8 @@ class Engine:
         if key not in self._views:
             w = self.store.read("works").join(self.store.read("scores"), "id").where("NOT is_baseline")
             p = self.params
-            w = filters.with_tokens(w.withColumns({"title_s": search_text("title"), "abstract_s": search_text("abstract")}), "title_s", "abstract_s")
+            # written out once, so that the Python function's output is a plain column for the matches
+            w = filters.with_tokens(materialize(w.withColumns({"title_s": search_text("title"), "abstract_s": search_text("abstract")})), "title_s", "abstract_s")
             hit = filters.interest_location(list(p.queries), "title_s", "abstract_s").isNotNull() if p.queries else F.lit(False)
             field = F.col("field_id") if "field_id" in w.columns else F.lit(None).cast("string")
             keep = filters.passes(p, F.col("language"), field, F.col("subfield"), "title_s", "abstract_s")

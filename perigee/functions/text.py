@@ -175,6 +175,20 @@ def clean_text(s: pd.Series) -> pd.Series:
     return s.map(lambda x: clean(x))
 
 
+#: Characters of an abstract that are kept.
+ABSTRACT_CHARS = 12_000
+
+
+@F.pandas_udf(StringType())
+def clean_abstract(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: clean(x)[:ABSTRACT_CHARS])
+
+
+@F.pandas_udf(StringType())
+def clean_title(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: clean(x) or "Untitled")
+
+
 @F.pandas_udf(StringType())
 def clean_label(s: pd.Series) -> pd.Series:
     return s.map(lambda x: clean(x, repair=False))

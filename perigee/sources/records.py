@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perigee.functions.text import abstract_from_index, arxiv_id, clean_label, clean_text, first_release, short_id
+from perigee.functions.text import abstract_from_index, arxiv_id, clean_abstract, clean_label, clean_title, first_release, short_id
 
 LEVEL = "STRUCT<id: STRING, display_name: STRING>"
 TOPIC = f"STRUCT<id: STRING, display_name: STRING, score: DOUBLE, subfield: {LEVEL}, field: {LEVEL}, domain: {LEVEL}>"
@@ -20,7 +20,7 @@ WORK = f"""id STRING, title STRING, display_name STRING, language STRING, public
 AUTHOR = """id STRING, display_name STRING, orcid STRING, works_count BIGINT, cited_by_count BIGINT,
     summary_stats STRUCT<h_index: BIGINT, i10_index: BIGINT, `2yr_mean_citedness`: DOUBLE>, last_known_institutions ARRAY<STRUCT<display_name: STRING>>"""
 
-ABSTRACT_CHARS, AUTHORS, TOPICS = 12_000, 25, 10
+AUTHORS, TOPICS = 25, 10
 
 
 def read_works(spark, path: str) -> DataFrame:
@@ -36,7 +36,6 @@ def _topic(t: Column) -> Column:
 
 def normalize_works(raw: DataFrame, as_of: date, baseline: bool = False) -> DataFrame:
     """Renamed, defaulted and cleaned works; the abstract is rebuilt and cut, authors and topics are capped."""
-    title = F.coalesce(F.nullif(clean_text(F.coalesce("title", "display_name")), F.lit("")), F.lit("Untitled"))
     people = F.filter(F.slice(F.coalesce("authorships", F.expr("array()")), 1, AUTHORS), lambda a: a["author"]["id"].isNotNull())
     author = lambda a: F.struct(
         short_id(a["author"]["id"]).alias("author_id"),
@@ -52,8 +51,8 @@ def normalize_works(raw: DataFrame, as_of: date, baseline: bool = False) -> Data
     day = F.coalesce(F.try_to_date("publication_date"), F.lit(as_of))
     out = raw.select(
         short_id(F.col("id")).alias("id"),
-        title.alias("title"),
-        F.substring(clean_text(abstract_from_index(F.col("abstract_inverted_index"))), 1, ABSTRACT_CHARS).alias("abstract"),
+        clean_title(F.coalesce("title", "display_name")).alias("title"),
+        clean_abstract(abstract_from_index(F.col("abstract_inverted_index"))).alias("abstract"),
         "language",
         day.alias("date"),
         "doi",
