@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perigee.llm.shared import held_out, mix
+from perigee.llm.shared import held_out, materialize, mix
 
 BLANKS = r"[\x20\x09-\x0D]+"
 GAMMA = 2.0
@@ -152,7 +152,8 @@ def exact_groups(docs: DataFrame, history: Column | None = None, id_col: str = "
         history = held_out(F.col(id_col), 2, 0)
     buckets = max(1, math.ceil(docs.count() / 2 / bucket_keys))
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), normalised_digest(docs[text_col]).alias("digest"), F.coalesce(history, F.lit(False)).alias("old"))
-    pairs = rows.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("m"), F.max("old").alias("old"))
+    # written once: the index, the lookup and the result read it, and texts are digested a single time
+    pairs = materialize(rows.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("m"), F.max("old").alias("old")))
     index = build_index(pairs.where("old"), buckets)
     found = lookup(_groups(pairs.where("NOT old")), index, buckets)
     news = found.select("digest", F.least("first_id", F.coalesce("old_first", F.lit(NO_ID))).alias("keep"), (F.col("n") + F.col("old_n")).alias("size"))
