@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from perigee.llm.components import connected_components
 from perigee.llm.shared import LOWER, bytes_of, materialize, mix
+from perigee.llm.similar_sets import similar_components
 
 NO_ID = (1 << 63) - 1
 #: Shingles whose bits are counted at once.
@@ -117,38 +118,37 @@ def flips_at(similarity: float) -> float:
     return math.acos(min(1.0, cos)) / math.pi
 
 
-def similar_groups(rows: DataFrame, similarity: float, tables: int, bits: int = 32, radius: int = 2) -> DataFrame:
-    """(id, root) of the rows (id, fps) in a group of two or more; root is the least id of the group.
+def _set_maker(k: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, k)).tobytes() for t in bytes_of(b.column(2))]
+            names = np.array([xxhash.xxh3_64_intdigest(s) for s in sets], "<u8").view("<i8")
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names), pa.array(sets, pa.binary())], names=["id", "text_hash", "node", "hashes"])
+            yield out.filter(pa.array([len(s) > 0 for s in sets], pa.bool_()))
 
-    The sketch (tables * bits bits) is cut into tables; each value of a table emits its ball, and rows that
-    share a variant are chained. Each link is verified on the whole sketch: the share of differing bits may
-    be that of the given Jaccard similarity at most. Equal sketches are one node, so a group of copies of any
-    size costs one row per variant.
-    """
-    per = 64 // bits
-    nodes = rows.groupBy("fps").agg(F.min("id").alias("node"))
-    nodes = materialize(nodes)
-    parts = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.shiftrightunsigned(F.col("fps")[t // per], bits * (t % per)).bitwiseAND(F.lit((1 << bits) - 1)).alias("v")) for t in range(tables)])
-    cut = nodes.select("node", F.explode(parts).alias("p")).select("node", "p.t", "p.v")
-    near = cut.select("node", F.explode(F.transform(ball(F.col("v"), bits, radius // 2), lambda x: F.shiftleft(F.col("t"), bits).bitwiseOR(x))).alias("variant"))
-    w = Window.partitionBy("variant").orderBy("node")
-    found = near.select("node", F.lag("node").over(w).alias("before")).where("before IS NOT NULL").select(F.col("before").alias("a"), F.col("node").alias("b")).distinct()
-    x, y = (nodes.select(F.col("node").alias(n), F.col("fps").alias(f"fps_{n}")) for n in "ab")
-    off = F.aggregate(F.zip_with("fps_a", "fps_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
-    links = found.join(x, "a").join(y, "b").where(off <= F.lit(flips_at(similarity) * 64 * math.ceil(tables / per))).select("a", "b")
-    roots = connected_components(links)
-    whole = nodes.join(roots, "node", "left").select("fps", F.coalesce("root", "node").alias("root"))
-    return rows.join(whole, "fps").select("id", "root")
-
-
-def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tables: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return run
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, text_hash, node, hashes) of (id, text_hash, text) with words: distinct shingle hashes, sorted, and a name made of them."""
+    return texts.select("id", "text_hash", "text").mapInArrow(_set_maker(shingle), "id long, text_hash long, node long, hashes binary")
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns: the least id of each group of near copies.
 
-    Rows of a null id are never dropped; texts without words are left alone.
+    Groups are the components of all pairs whose distinct shingles have the Jaccard similarity at least. Rows of
+    a null id are never dropped; texts without words are left alone.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     i, t = (names[docs.columns.index(c)] for c in (id_col, text_col))
     mine = docs.toDF(*names)
-    rows = materialize(sketch(docs, shingle, math.ceil(tables / 2), id_col, text_col).where(F.exists("fps", lambda x: x != 0)))
-    gone = similar_groups(rows, similarity, tables).where("id != root").select("id").distinct()
+    text = docs[text_col].cast("binary")
+    texts = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    make = lambda some: shingle_sets(some, shingle)
+    rows = materialize(make(texts).select("id", "text_hash", "node"))
+    roots = similar_components(rows, texts, make, similarity)
+    whole = rows.select("id", "text_hash", "node").join(roots, "node", "left").select("id", "text_hash", F.coalesce("root", "node").alias("root"))
+    least = whole.groupBy("root").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most")
+    gone = whole.join(least, "root").where("id != least").select("id").distinct()
     return mine.join(gone, mine[i].cast("long") == gone["id"], "left_anti").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
