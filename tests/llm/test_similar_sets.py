@@ -1,6 +1,8 @@
 import random
 
-from perigee.llm import simhash
+import numpy as np
+
+from perigee.llm import similar_sets, simhash
 
 COLS = "doc_id long, text string"
 
@@ -51,3 +53,25 @@ def test_pairs_about_the_bound_as_brute_force(spark):
     want = brute_kept(rows, 5, 0.8)
     assert 9002 not in want and 9004 not in want
     assert kept(spark, rows) == want
+
+
+def test_counts_of_common_hashes():
+    rng = np.random.default_rng(1)
+    x = [np.unique(rng.integers(0, 9000, n).astype("<u8")) for n in (1, 50, 4000, 8000)]
+    want = [[len(np.intersect1d(p, q)) for q in x[1:]] for p in x]
+    assert similar_sets.common_counts(x, x[1:]).tolist() == want
+
+
+def test_large_groups_of_texts_under_the_bound_as_brute_force(spark):
+    """A template's texts, pairwise under the bound, among which some have a near copy that no neighbour is."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, edited(rng, words, 3)) for i in range(1, 71)]
+    rows += [(1000 + i, f"{rows[i][1]} end{i}") for i in range(0, 70, 7)]
+    want = brute_kept(rows, 5, 0.8)
+    assert len(want) == 70
+    assert kept(spark, rows) == want
+    texts = spark.createDataFrame([(i, i, t.encode()) for i, t in rows], "id long, text_hash long, text binary")
+    make = lambda some: simhash.shingle_sets(some, 5)
+    roots = similar_sets.similar_components(make(texts).select("node", "text_hash").checkpoint(), texts, make, 0.8, window=1, block=8)
+    assert roots.count() == 20 and roots.select("root").distinct().count() == 10
