@@ -137,8 +137,9 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns: the least id of each group of near copies.
 
-    Groups are the components of all pairs whose distinct shingles have the Jaccard similarity at least. Rows of
-    a null id are never dropped; texts without words are left alone.
+    Groups are the components of all pairs whose distinct shingles have the Jaccard similarity at least. A row is
+    dropped by its id and text, so another row of its id stays; of one id's near copies one text stays. Rows of a
+    null id are never dropped; texts without words are left alone.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     i, t = (names[docs.columns.index(c)] for c in (id_col, text_col))
@@ -149,6 +150,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     rows = materialize(make(texts).select("id", "text_hash", "node"))
     roots = similar_components(rows, texts, make, similarity)
     whole = rows.select("id", "text_hash", "node").join(roots, "node", "left").select("id", "text_hash", F.coalesce("root", "node").alias("root"))
-    least = whole.groupBy("root").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most")
-    gone = whole.join(least, "root").where("id != least").select("id").distinct()
-    return mine.join(gone, mine[i].cast("long") == gone["id"], "left_anti").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    least = whole.groupBy("root").agg(F.min(F.struct("id", "text_hash")).alias("least"), F.max(F.struct("id", "text_hash")).alias("most")).where("least != most")
+    gone = whole.join(least, "root").where((F.struct("id", "text_hash") != F.col("least")) & (F.col("id") != NO_ID)).select("id", "text_hash").distinct()
+    same = (mine[i].cast("long") == gone["id"]) & (F.xxhash64(mine[t].cast("binary")) == gone["text_hash"])
+    return mine.join(gone, same, "left_anti").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

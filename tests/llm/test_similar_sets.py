@@ -75,3 +75,10 @@ def test_large_groups_of_texts_under_the_bound_as_brute_force(spark):
     make = lambda some: simhash.shingle_sets(some, 5)
     roots = similar_sets.similar_components(make(texts).select("node", "text_hash").checkpoint(), texts, make, 0.8, window=1, block=8)
     assert roots.count() == 20 and roots.select("root").distinct().count() == 10
+
+
+def test_rows_go_by_id_and_text(spark):
+    one, other, third = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, one), (None, other), (1, one + " end"), (2, other + " end"), (3, third), (4, third + " end"), (4, "a clean text of the same id")]
+    df = spark.createDataFrame(rows, COLS)
+    assert sorted(tuple(r) for r in simhash.drop_near_copies(df).collect() if r["doc_id"]) == sorted([rows[2], rows[3], rows[4], rows[6]])
