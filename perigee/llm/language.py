@@ -205,10 +205,15 @@ def _slices(texts: list[bytes], most: int = 3 << 20) -> Iterator[tuple[int, list
 
 def predict(texts: list[bytes], m: Model, with_spans: bool = False) -> tuple[list[str], list[float], list]:
     """Language, score and spans (in words) of each text."""
+    return predict_sure(texts, m, with_spans)[:3]
+
+
+def predict_sure(texts: list[bytes], m: Model, with_spans: bool = False) -> tuple[list[str], list[float], list, list[float]]:
+    """predict, and how sure the language of each text's main part is, whatever its share of the text."""
     n = len(texts)
     lang, score, spans = ["und"] * n, [0.0] * n, [[] for _ in range(n)]
     if not m.langs or not n:
-        return lang, score, spans
+        return lang, score, spans, [0.0] * n
     w = Words(texts)
     s = w.scores(m)
     at = label_words(s, w.doc, n, m.penalty)
@@ -235,7 +240,7 @@ def predict(texts: list[bytes], m: Model, with_spans: bool = False) -> tuple[lis
             d = int(w.doc[x])
             if lang[d] != "und":
                 spans[d].append({"start": x - int(first[d]), "end": y - int(first[d]), "lang": m.langs[at[x]]})
-    return lang, score, spans
+    return lang, score, spans, np.nan_to_num(sure).tolist()
 
 
 def _counter(langs: list[str]) -> Callable:
@@ -296,14 +301,17 @@ def identify(docs: DataFrame, model: Model, with_spans: bool = False, id_col: st
 
 
 def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5, langs: Column | None = None, text_col: str = "text") -> DataFrame:
-    """The rows whose language is known with the given score at least, with all their columns."""
+    """The rows with letters whose main language is as sure as the given score at least, with all their columns.
+
+    Its share of the letters doesn't count, so a mixture of languages alone is no reason to drop a text.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(texts: list[bytes]) -> list[bool]:
         out = []
         for _, part in _slices(texts):
-            lang, score, _ = predict(part, shared.value)
-            out += [x != "und" and s >= least_score for x, s in zip(lang, score, strict=True)]
+            lang, _, _, sure = predict_sure(part, shared.value)
+            out += [x != "und" and s >= least_score for x, s in zip(lang, sure, strict=True)]
         return out
 
     return filter_rows(docs, text_col, keep)
