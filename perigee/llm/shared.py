@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import tempfile
@@ -34,6 +35,28 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: smaller than a checkpoint, its lineage cut. Tables go when
+    the driver's process ends."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{unique_name('table')}"
+    df.write.parquet(path)
+    if not _written:
+        atexit.register(_remove_written)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove_written() -> None:
+    for spark, path in _written:
+        if spark.sparkContext._jsc is not None:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of fewer rows: whole documents are long, and each Python node of a task holds a batch on
     either side."""

@@ -14,12 +14,19 @@ README's figures show to be out of reach; so the query runs on anchors instead,
    strings. For the others, and one of each class of equal contexts, each string's hash is shuffled.
 4. Repeated starts go back to their documents, whose bytes are then cut.
 
-Equal documents are found by digest. A task gives out the anchors of a text once, however many copies of it
-it reads, so a group of copies costs one row per anchor and task. Cores and contexts are compared by 64 bits
-each, and both must agree; strings that are compared one by one have 128 bits.
-
-Defined results: null text is empty; texts shorter than `length` lose nothing; equal documents of at least `length` bytes lose everything; repeated rows count as
-documents of their own; an empty table gives an empty result; other columns are never read.
+A document's key is a 64-bit hash of its text, so it is the same in every plan, whatever tasks read the text, and
+equal texts share one key. Equal documents are found by their full digests. A task gives out the anchors of a text
+once, however many copies of it it reads; a text that comes from two tasks is one that occurs twice, so its
+strings repeat in truth. Cores and contexts are compared by 64 bits each, and both must agree; strings that are
+compared one by one have 128 bits. (Of 10**9 distinct texts, two share a key with a chance of 3 in 100.)
+
+No large group meets in one task: cores are counted by partial sums first, and only anchors that a bitmap of bounded
+size lets through are made a second time and joined with the counts; strings are compared within a task first, and
+each goes on once for a task's block of strings.
+
+Defined results: null text is empty; texts shorter than `length` lose nothing; equal documents of at least `length`
+bytes lose everything; repeated rows count as documents of their own; an empty table gives an empty result; other
+columns are never read.
 """
 
 from __future__ import annotations
@@ -29,11 +36,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from perigee.llm.shared import bytes_of, materialize, mix
+from perigee.llm.shared import bytes_of, mix, written
 
 GRAM = 24
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -108,9 +114,15 @@ def anchors(text: bytes, length: int, slack: int) -> tuple[Rolling, np.ndarray,
 CHUNK = 1 << 20
 
 
-def _emit_anchors(length: int, slack: int) -> Callable:
+def _emit_anchors(length: int, slack: int, among: KeySet | None = None) -> Callable:
     core = length - slack + 1
 
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+        keep = slice(None) if among is None else among.has(cols[0])
+        kinds = (np.int64, np.int64, np.int64, np.int32, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(c[keep].astype(k)) for c, k in zip(cols, kinds, strict=True)], names=["core", "doc", "whole", "lo", "hi"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, seen = 0, set()
@@ -124,26 +136,50 @@ def _emit_anchors(length: int, slack: int) -> Callable:
                     whole = r.spans(lo, hi + length)
                     with np.errstate(over="ignore"):
                         whole = mix(whole + ((at - lo) * 65536 + hi - lo).astype(np.uint64))
-                    held.append((np.full(len(at), doc, np.int64), r.spans(at, at + core).view(np.int64), whole.view(np.int64), lo + i, hi + i))
+                    held.append((r.spans(at, at + core).view(np.int64), np.full(len(at), doc, np.int64), whole.view(np.int64), lo + i, hi + i))
                     size += len(at)
                     if size > 50_000:
-                        yield _packed(held)
+                        yield packed(held)
                         held, size = [], 0
         if size:
-            yield _packed(held)
+            yield packed(held)
 
     return run
 
 
-def _packed(held: list[tuple]) -> pa.RecordBatch:
-    cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-    return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols[:3]), pa.array(cols[3].astype(np.int32)), pa.array(cols[4].astype(np.int32))], names=["doc", "core", "whole", "lo", "hi"])
+#: Strings that are compared within a task before they are shuffled.
+COMBINED = 1 << 17
 
 
 def _emit_strings(length: int) -> Callable:
-    """For (doc, text, spans): each start's string hash, 128 bits."""
+    """For (doc, text, spans): a row (x, y, doc, lo, hi, n) for each distinct string (128 bits) of some texts, n
+    being 2 if it occurs there again; and for each run of starts of such strings a row under a key of its own.
+
+    So a string that a large share of all texts holds is shuffled once for each task and COMBINED strings.
+    """
+
+    def combined(held: list[tuple]) -> pa.RecordBatch:
+        x, y, doc, lo = map(np.concatenate, zip(*held, strict=True))
+        order = np.lexsort((y, x))
+        new = np.concatenate(([True], (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])))
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(x)))
+        again = np.zeros(len(x), bool)
+        again[order] = np.repeat(n > 1, n)
+        one = order[first]
+        # starts stand in order within a text, so runs of repeated ones are neighbours
+        follows = np.concatenate(([False], again[1:] & again[:-1] & (doc[1:] == doc[:-1]) & (lo[1:] == lo[:-1] + 1)))
+        begin = np.flatnonzero(again & ~follows)
+        stop = np.flatnonzero(again & ~np.append(follows[1:], False))
+        with np.errstate(over="ignore"):
+            own = mix(doc[begin].view(np.uint64) * np.uint64(BASES[0]) + lo[begin].astype(np.uint64))
+        cols = [np.concatenate(c) for c in ((x[one], own), (y[one], mix(own)), (doc[one], doc[begin]), (lo[one], lo[begin]), (lo[one], lo[stop]), (np.where(n > 1, 2, 1), np.full(len(begin), 2)))]
+        kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(c.view(k) if c.dtype == np.uint64 else c.astype(k)) for c, k in zip(cols, kinds, strict=True)], names=["x", "y", "doc", "lo", "hi", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
         for b in batches:
             for doc, text, own in zip(b.column(0).to_pylist(), bytes_of(b.column(1)), b.column(2).to_pylist(), strict=True):
                 own = sorted((s["lo"], s["hi"]) for s in own)
@@ -156,7 +192,13 @@ def _emit_strings(length: int) -> Callable:
                     start = np.concatenate([np.arange(lo, hi + 1) for lo, hi in own[base:stop]]) - origin
                     base = stop
                     x, y = (Rolling(text[origin : last + length], k).spans(start, start + length) for k in BASES)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), doc, np.int64)), pa.array((start + origin).astype(np.int32)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["doc", "lo", "x", "y"])
+                    held.append((x, y, np.full(len(start), doc, np.int64), start + origin))
+                    size += len(start)
+                    if size >= COMBINED:
+                        yield combined(held)
+                        held, size = [], 0
+        if size:
+            yield combined(held)
 
     return run
 
@@ -188,85 +230,114 @@ def _cut(length: int) -> Callable:
                 spans.append([{"start": i, "end": j} for i, j in at])
                 digest.append(hashlib.sha256(b"".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"],
+                [b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string()), pa.array(spans, SPANS)],
+                names=RESULT,
             )
 
     return run
 
 
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A key of its own for each row: the partition and the place in it."""
-    serial = TaskContext.get().partitionId() << 40
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(serial, serial + b.num_rows)), *b.columns], names=["doc", *b.schema.names])
-        serial += b.num_rows
-
-
-#: Bits of a set of documents: eight for each, up to 2**29 (64 MB).
+#: Bits of a set of keys: eight for each, up to 2**29 (64 MB).
 MOST_BITS = 1 << 29
 
 
-class DocumentSet:
-    """A broadcast bitmap over hashed document keys, of bounded size. It may hold more documents than were
-    put in, never fewer: with it, texts that need no shuffle stay where they are. It only saves work."""
+class KeySet:
+    """A broadcast bitmap over hashed 64-bit keys, of bounded size. It may hold more keys than were put in, never
+    fewer, so rows that it leaves out need no shuffle. It only saves work."""
 
-    def __init__(self, keys: DataFrame, n_docs: int):
+    def __init__(self, keys: DataFrame, n: int):
         bits = 1 << 15
-        while bits < min(8 * n_docs, MOST_BITS):
+        while bits < min(8 * n, MOST_BITS):
             bits *= 2
-        place = (F.expr("shiftright(doc, 40)") * 1000003 + F.expr("doc & 1099511627775")) % F.lit(bits)
+        place = F.pmod(F.col(keys.columns[0]), F.lit(bits))
         blocks = keys.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("block")).agg(F.bitmap_construct_agg(F.expr("p % 32768")).alias("bitmap"))
         data = np.zeros(bits // 8, np.uint8)
         for r in blocks.toLocalIterator():
             data[r["block"] * 4096 : (r["block"] + 1) * 4096] = np.frombuffer(r["bitmap"], np.uint8)
         self.bits, self.shared = bits, keys.sparkSession.sparkContext.broadcast(data)
 
-    def has(self, doc: np.ndarray) -> np.ndarray:
-        at = ((doc >> 40) * 1000003 + (doc & 1099511627775)) % self.bits
+    def has(self, key: np.ndarray) -> np.ndarray:
+        at = key & (self.bits - 1)
         return (self.shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
-    def split(self, rows: DataFrame, inside: bool) -> DataFrame:
-        """The rows (doc first) inside or outside the set, without a shuffle."""
+    def inside(self, rows: DataFrame, once: bool = False) -> DataFrame:
+        """The rows (key first) inside the set, without a shuffle; with `once`, one row of each key and task."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
             for b in batches:
-                if b.num_rows:
-                    yield b.filter(pa.array(self.has(b.column(0).to_numpy()) == inside))
+                if not b.num_rows:
+                    continue
+                key = b.column(0).to_numpy()
+                keep = self.has(key)
+                if once:
+                    for i in np.flatnonzero(keep).tolist():
+                        keep[i] = key[i] not in seen
+                        seen.add(key[i])
+                yield b.filter(pa.array(keep))
 
         return rows.mapInArrow(run, rows.schema)
 
 
+def _untouched(touched: KeySet) -> Callable:
+    """For (doc, doc_id, text): the results of texts outside the set, which lose nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            b = b.filter(pa.array(~touched.has(b.column(0).to_numpy())))
+            n, texts = b.num_rows, bytes_of(b.column(2))
+            none, digest = pa.array(np.zeros(n, np.int64)), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([len(t) for t in texts], pa.int64()), none, none, digest, pa.array([[]] * n, SPANS)], names=RESULT)
+
+    return run
+
+
+RESULT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+ANCHOR, STRING = "core long, doc long, whole long, lo int, hi int", "x long, y long, doc long, lo int, hi int, n int"
+
+
 def remove_repeats(docs: DataFrame, length: int = 400, slack: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed) of each row of docs."""
     slack = slack or max(1, min(length // 2, 120))
-    n_docs = docs.count()
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("binary"), F.lit(b"")).alias("text")).mapInArrow(_number, "doc long, doc_id long, text binary")
+    raw = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("binary"), F.lit(b"")).alias("text"))
+    rows = raw.select(F.xxhash64("text").alias("doc"), "doc_id", "text")
     texts = rows.select("doc", "text")
     digests = rows.where(F.length("text") >= length).select("doc", F.unhex(F.sha2("text", 256)).alias("digest"))
-    copies = materialize(digests.join(digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "digest").select("doc"))
+    copies = written(digests.groupBy("doc", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc").distinct())
 
-    found = materialize(_repeated_cores(texts.mapInArrow(_emit_anchors(length, slack), "doc long, core long, whole long, lo int, hi int")))
+    found = written(_repeated_cores(lambda among: texts.mapInArrow(_emit_anchors(length, slack, among), ANCHOR)))
     sure = found.where("same > 1").select("doc", "lo", "hi")
-    unsure = found.where("same = 1 OR nth = 1 AND same < cores")
-    asked = DocumentSet(unsure.select("doc"), n_docs).split(texts, True).join(unsure.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "doc")
-    strings = asked.mapInArrow(_emit_strings(length), "doc long, lo int, x long, y long")
-    again = strings.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("x", "y"))).where("n > 1").select("doc", "lo", F.col("lo").alias("hi"))
-
-    starts = sure.unionByName(again).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
-    marks = materialize(copies.withColumn("copied", F.lit(True)).join(starts, "doc", "full"))
-    touched = DocumentSet(marks.select("doc"), n_docs)
-    cut = touched.split(rows, True).join(marks, "doc", "left").select("doc_id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "starts")
-    whole = touched.split(rows, False).select("doc_id", "text", F.lit(False).alias("copied"), F.lit(None).cast(cut.schema["starts"].dataType).alias("starts"))
+    unsure = found.where("same = 1 OR first AND same < cores").select("doc", "lo", "hi")
+    holders = KeySet(unsure.select("doc"), unsure.count())
+    asked = holders.inside(texts, once=True).join(unsure.groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "doc")
+    again = _repeated_strings(asked.mapInArrow(_emit_strings(length), STRING))
+
+    starts = sure.unionByName(again).groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("starts"))
+    marks = written(copies.withColumn("copied", F.lit(True)).join(starts, "doc", "full").withColumn("starts", F.when(F.col("copied").isNull(), F.col("starts"))))
+    touched = KeySet(marks.select("doc"), marks.count())
+    cut = touched.inside(rows).join(marks, "doc", "left").select("doc_id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "starts")
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>"
-    return whole.mapInArrow(_cut(length), kind).unionByName(cut.mapInArrow(_cut(length), kind))
+    return rows.mapInArrow(_untouched(touched), kind).unionByName(cut.mapInArrow(_cut(length), kind))
+
+
+def _repeated_cores(found: Callable[[KeySet | None], DataFrame]) -> DataFrame:
+    """Anchors whose core another anchor has, with the numbers of anchors of the core (`cores`) and of the whole
+    context (`same`), and whether it is the first of the latter.
+
+    Counts are partial sums, and they are joined back, so a core that a large share of all documents holds is a row
+    per task in the former and split in the latter."""
+    often = written(found(None).groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"))
+    mine = written(found(KeySet(often, often.count())))
+    contexts = mine.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("same"), F.min("doc").alias("least"))
+    cores = contexts.groupBy("core").agg(F.sum("same").alias("cores")).where("cores > 1")
+    counted = mine.join(contexts.join(cores, "core"), ["core", "whole"])
+    return counted.select("doc", "lo", "hi", "same", "cores", (F.col("doc") == F.col("least")).alias("first"))
 
 
-def _repeated_cores(found: DataFrame) -> DataFrame:
-    """Anchors whose core another anchor has, with the numbers of anchors of the core (`cores`) and of the
-    whole context (`same`), and the place among the latter; one shuffle and one sort serve all three."""
-    dealt = found.repartition("core")
-    context = Window.partitionBy("core", "whole")
-    nth = F.row_number().over(context.orderBy("doc", "lo"))
-    counted = dealt.withColumn("nth", nth).withColumn("same", F.count(F.lit(1)).over(context)).withColumn("cores", F.count(F.lit(1)).over(Window.partitionBy("core")))
-    return counted.where("cores > 1").drop("core", "whole")
+def _repeated_strings(strings: DataFrame) -> DataFrame:
+    """(doc, lo, hi) of the starts of strings that occur more than once; a key has one row per task and block."""
+    total = F.sum("n").over(Window.partitionBy("x", "y"))
+    return strings.withColumn("total", total).where("total > 1").select("doc", "lo", "hi")

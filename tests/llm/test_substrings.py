@@ -1,11 +1,12 @@
 import hashlib
+import itertools
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from perigee.llm import substrings
+from perigee.llm import queries, substrings
 
 DOCS = "doc_id long, text string, doc long, lo int, copied string, core string"
 
@@ -38,6 +39,45 @@ def test_documents_as_brute_force(spark, sf_dir):
     assert run(spark, rows, 60) == brute(rows, 60)
 
 
+def _registered(spark, path):
+    got = queries.op7_repeated_substrings(spark, path).collect()
+    return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=str)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_registered_query_as_brute_force(spark, sf):
+    path = f"/root/testdata/{sf}"
+    rows = [tuple(r) for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()]
+    want = brute(rows, 400)
+    for threshold in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            assert _registered(spark, path) == want
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert any(r[2] for r in want)
+
+
+def test_files_split_anew_between_jobs(spark, tmp_path, monkeypatch):
+    """The scan may be split otherwise in each job (executors come and go)."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.repartition(12).write.parquet(str(tmp_path / "documents.parquet"))
+    want = brute([tuple(r) for r in docs.select("doc_id", "text").collect()], 400)
+    sizes = itertools.cycle(["4k", "1m", "64k"])
+    real = substrings.written
+
+    def resplit(df):
+        out = real(df)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        return out
+
+    monkeypatch.setattr(substrings, "written", resplit)
+    try:
+        assert _registered(spark, str(tmp_path)) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_random_texts_of_few_letters(spark, seed):
     r = random.Random(seed)
