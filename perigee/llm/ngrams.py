@@ -1,55 +1,61 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-A quantised count q of an n-gram (1 for a count of one, one more for each factor of BASE) is held by the
-membership of (n-gram, 1) to (n-gram, q). To read it, memberships are probed one level after another until
-one is missing; so a count is never under the quantised one, and over it with the filter's error rate per
-level. Bigrams are learned whole from all training texts: each task sorts and counts its own bigram hashes,
-blocks of hashes meet by their leading bits, and each range of hashes fills its own segment of the filter.
-
-The probability of token w after v is (1 - a) * count(v w) / count(v) + a * p(w), where p(w) adds one to
-unigram counts and a depends on the size of count(v). It is fitted on a bounded sample of training texts,
-each bigram without the occurrence that is scored, so text whose words are independent gets its unigram
-probability, and text that repeats what was learned gets more.
-
-Unigram counts are exact for the tokens that make up a fixed share of all tokens (so their number is
-bounded); those are broadcast as a table. The model takes other counts from the filter; for the base score,
-which asks for exact ones, other tokens are joined with their counts.
-
-The filter grows with the number of distinct bigrams, up to `max_filter_bytes`, which bounds the broadcast;
-beyond it no bigram is dropped, but the error rate rises (at 8 bits per entry: 0.05 per level).
-
-Defined results: null text is empty, and an empty text is the end token alone; tokens are the words between
-ASCII white space, A-Z lowered, then one end; without training texts every count is zero; repeated rows get
-equal scores; an empty table gives an empty result; other columns are never read.
+A quantised count q of a bigram (1 for a count of one, one more for each factor of BASE) is held by the membership of
+(bigram, 1) to (bigram, q). To read it, memberships are probed one level after another until one is missing; so a
+count is never under the quantised one, and over it with the filter's error rate per level. Bigrams are learned whole
+from all training texts: each task counts its own, blocks of them meet by their keys' leading bits, and each range of
+keys fills a segment of the filter that is as large as its own entries ask for, so the error rate is the same at every
+size of the input.
+
+p(w | v) = (1 - b) * m(v w) / (M(v) + F) + b * p(w), where p(w) adds one to exact unigram counts (and keeps one share
+for any unknown token); m is the dequantised count of the bigram less DISCOUNT, 0 where it isn't a member; M(v) is the
+sum of m over the bigrams that were learned after v; F is what non-members that the filter takes for members add in
+expectation; 1 - b = M(v) / (count(v) + F). So the probabilities after each v sum to one in expectation over the
+filter's errors, and nothing has to be tuned. Bigrams whose second token is rare (see FREQUENT_SHARE) weigh less, so
+that the many rare tokens don't make most of F. M(v) is a number of three memberships in the filter (two digits and
+their check) to 1.5 %; exact for contexts whose bigrams are spread over several segments because they are many.
+
+Unigram counts of the tokens that make up a fixed share of all tokens (so their number is bounded) are broadcast as a
+table; other tokens are joined with their exact counts.
+
+The filter is broadcast in shards of at most `max_shard_bytes`: one shard up to that size, and beyond it one after
+another, each in a pass of its own over the texts that scores the bigrams whose context it holds. A score doesn't
+depend on the number of shards.
+
+Defined results: null text is empty, and an empty text is the end token alone; tokens are the words between ASCII white
+space, A-Z lowered, then one end; without training texts every count is zero; repeated rows get equal scores; an empty
+table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
 
 import math
-import os
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perigee.llm.shared import LOWER, WordBatch, bounded_sample, bytes_of, materialize, mix
+from perigee.llm.shared import LOWER, WordBatch, bytes_of, mix, written
 
 #: The end of a text; no word holds a blank.
 END = b" "
 BASE = 1.5
-PROBES = 2
+PROBES = 6
+BITS_PER_ENTRY = 16
+DISCOUNT = 0.75
 #: Tokens of at least this share of all tokens are in the broadcast table: 2,000,000 at most.
 FREQUENT_SHARE = 5e-7
-#: Classes of count(v) by powers of four, and the weights that are tried for each.
-CLASSES = 16
-WEIGHTS = np.array([0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.999, 1.0])
+#: Contexts of more than this share of all tokens at most are spread over segments.
+HOT_SHARE = 1 / 65536
+#: M(v) is held as a power of FINE, in two digits of DIGIT values.
+FINE, DIGIT = 1.03, 32
 _HASH_SEED = np.uint64(0x2545F4914F6CDD1D)
+#: Stands for the context of a text's first token.
+START = np.uint64(0x1F83D9ABFB41BD6B)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -71,16 +77,64 @@ class Stream:
             self.hash[~self.end] = w.hashes()
         self.doc = np.repeat(np.arange(len(texts)), self.n_tokens)
 
-    def unigrams(self) -> np.ndarray:
-        return mix(self.hash ^ np.uint64(0x1F83D9ABFB41BD6B))
+    def before(self) -> np.ndarray:
+        """The hash of the token before each; at a text's beginning, of START."""
+        if not len(self.hash):
+            return self.hash
+        first = np.concatenate(([True], self.end[:-1]))
+        return np.where(first, START, np.concatenate(([START], self.hash[:-1])))
+
+
+def token_hashes(words: list[bytes]) -> np.ndarray:
+    """The hash of each token, as Stream has it."""
+    out = [np.zeros(0, np.uint64)]
+    for i in range(0, len(words), 100_000):
+        s = Stream([b"" if w == END else w for w in words[i : i + 100_000]])
+        out.append(s.hash[np.where(s.n_tokens == 1, s.last, s.last - 1)])
+    return np.concatenate(out)
+
+
+@dataclass
+class Table:
+    """Counts by hash: hashes sorted, with a number each."""
+
+    hashes: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, values: np.ndarray) -> Table:
+        order = np.argsort(hashes)
+        return cls(hashes[order], values[order])
+
+    def get(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash; -1 where it has none."""
+        if not len(self.hashes):
+            return np.full(len(h), -1, self.values.dtype)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.values[at], -1)
+
+
+#: Bits of a key under its group; the last marks a frequent second token.
+LOW = 28
 
-    def bigrams(self) -> np.ndarray:
-        """The hash of each token with the one before it (at a text's beginning: with its end)."""
-        before = np.concatenate(([_HASH_SEED], self.hash[:-1])) if len(self.hash) else self.hash
-        first = np.concatenate(([True], self.end[:-1])) if len(self.hash) else self.end
-        before = np.where(first, _HASH_SEED, before)
-        with np.errstate(over="ignore"):
-            return mix(before * np.uint64(0x9E3779B97F4A7C15) + self.hash)
+
+def keys_of(v: np.ndarray, w: np.ndarray, frequent: Table, hot: Table) -> np.ndarray:
+    """A key per bigram: the context's group, then a hash of the second token. Bigrams of a context share a group,
+    or one of as many groups as `hot` has for it."""
+    parts = hot.get(v)
+    with np.errstate(over="ignore"):
+        own = mix(w * np.uint64(0x9E3779B97F4A7C15) + v)
+        part = np.where(parts > 0, own % np.maximum(parts, 1).astype(np.uint64) + np.uint64(1), np.uint64(0))
+        group = group_of(v, part)
+    low = (own >> np.uint64(64 - LOW)) & np.uint64((1 << LOW) - 2)
+    return (group << np.uint64(LOW)) | low | (frequent.get(w) >= 0)
+
+
+def group_of(v: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Of LOW bits less than 64; part 0 is a context that isn't spread, which the last bit tells too."""
+    with np.errstate(over="ignore"):
+        g = mix(v + part.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(LOW)
+    return (g & np.uint64((1 << 36) - 2)) | (part > 0)
 
 
 def quantise(count: np.ndarray) -> np.ndarray:
@@ -93,48 +147,125 @@ def dequantise(q: np.ndarray) -> np.ndarray:
     return np.where(q <= 1, q, BASE ** (q - 0.5)).astype(float)
 
 
+def mass(q: np.ndarray) -> np.ndarray:
+    """What a level counts for in the model."""
+    return np.where(q > 0, dequantise(np.maximum(q, 1)) - DISCOUNT, 0.0)
+
+
+#: mass(0), mass(1), ...
+MASS = mass(np.arange(80))
+
+
+def false_mass(error: np.ndarray | float) -> np.ndarray:
+    """What a bigram that was never learned counts for in expectation."""
+    e = np.asarray(error, float)[..., None] ** np.arange(1, 40)
+    return (e * np.diff(MASS)[:39]).sum(axis=-1)
+
+
+def read_mass(error: float) -> np.ndarray:
+    """What levels 0, 1, ... of learned bigrams count for as they are read, errors included."""
+    step = np.diff(MASS)
+    return np.array([MASS[q] + sum(error**j * step[q + j - 1] for j in range(1, 12)) for q in range(60)])
+
+
+def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
+    """By the leading bits, so a group is in one segment."""
+    return ((h >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
+
+
+def _places(h: np.ndarray, kind: np.ndarray | int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
+    """The bits of a segment that an entry sets, one after another."""
+    with np.errstate(over="ignore"):
+        x = mix(h + np.asarray(kind, np.uint64) * np.uint64(0xA24BAED4963EE407))
+        step = mix(x) | np.uint64(1)
+        for _ in range(PROBES):
+            yield (x % np.asarray(bits, np.uint64)).astype(np.int64)
+            x = x + step
+
+
+#: Kinds of entries: a bigram's levels from 1 on, then a context's digits and their check.
+FIRST_DIGIT = 1 << 20
+
+
+def _digits(total: np.ndarray, unit: float) -> np.ndarray:
+    """M(v) as a number below DIGIT ** 2."""
+    return np.clip(np.round(np.log(np.maximum(total, unit) / unit) / math.log(FINE)), 0, DIGIT * DIGIT - 1).astype(np.int64)
+
+
+def fill(h: np.ndarray, q: np.ndarray, contexts: np.ndarray, digits: np.ndarray, bits: int) -> np.ndarray:
+    """The bytes of a segment that holds these bigrams and contexts (groups)."""
+    bit = np.zeros(bits, bool)
+    for level in range(1, int(q.max(initial=0)) + 1):
+        for at in _places(h[q >= level], level, bits):
+            bit[at] = True
+    for kind in (digits // DIGIT, DIGIT + digits % DIGIT, 2 * DIGIT + digits):
+        for at in _places(contexts, FIRST_DIGIT + kind, bits):
+            bit[at] = True
+    return np.packbits(bit, bitorder="little")
+
+
 @dataclass
-class Filter:
-    """Segments of equal size; an n-gram's segment is given by its hash's leading bits."""
+class Shard:
+    """Segments first, first + 1, ... of a filter of `segments`; each begins at a byte and has its own bits."""
 
     segments: int
-    bits: int  # of a segment
-    data: np.ndarray  # bytes, segment after segment
+    first: int
+    begin: np.ndarray
+    bits: np.ndarray
+    error: np.ndarray
+    data: np.ndarray
+
+    def has(self, seg: np.ndarray) -> np.ndarray:
+        return (seg >= self.first) & (seg < self.first + len(self.begin))
 
-    def places(self, h: np.ndarray, level: np.ndarray | int, probe: int) -> np.ndarray:
+    def _members(self, h: np.ndarray, kind: np.ndarray | int, seg: np.ndarray) -> np.ndarray:
+        """The indexes of the entries that are there."""
+        left = np.arange(len(h))
+        kind = np.broadcast_to(np.asarray(kind, np.int64), h.shape)
         with np.errstate(over="ignore"):
-            x = mix(h + np.uint64(1 + probe) * np.uint64(0xD1342543DE82EF95) + np.asarray(level, np.uint64) * np.uint64(0xA24BAED4963EE407))
-        return (x % np.uint64(self.bits)).astype(np.int64)
-
-    def segment(self, h: np.ndarray) -> np.ndarray:
-        return ((h >> np.uint64(32)) * np.uint64(self.segments) >> np.uint64(32)).astype(np.int64)
-
-    def fill(self, h: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """The bytes of one segment that holds these n-grams."""
-        bit = np.zeros(self.bits, bool)
-        for level in range(1, int(q.max(initial=0)) + 1):
-            mine = h[q >= level]
-            for probe in range(PROBES):
-                bit[self.places(mine, level, probe)] = True
-        return np.packbits(bit, bitorder="little")
-
-    def levels(self, h: np.ndarray) -> np.ndarray:
-        """The highest level up to which an n-gram is a member of all levels."""
+            x = mix(h + kind.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+            step = None
+            for _ in range(PROBES):
+                at = (x % self.bits[seg]).astype(np.int64)
+                hit = (self.data[self.begin[seg] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
+                left, x, seg = left[hit], x[hit], seg[hit]
+                if not len(left):
+                    break
+                step = mix(x) | np.uint64(1) if step is None else step[hit]
+                x = x + step
+        return left
+
+    def levels(self, h: np.ndarray, seg: np.ndarray) -> np.ndarray:
+        """The highest level up to which a bigram is a member of all levels."""
         q = np.zeros(len(h), np.int64)
-        if not len(self.data):
-            return q
-        left = np.arange(len(h))
-        level = 0
-        while len(left) and level < 64:
+        left, level = np.arange(len(h)), 0
+        while len(left) and level < 59:
             level += 1
-            for probe in range(PROBES):
-                at = self.segment(h[left]) * self.bits + self.places(h[left], level, probe)
-                left = left[(self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+            left = left[self._members(h[left], level, seg[left])]
             q[left] = level
         return q
 
-
-def _slices(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    def totals(self, contexts: np.ndarray, seg: np.ndarray, unit: float) -> np.ndarray:
+        """M(v) of groups; 0 where none is held."""
+        found = []
+        for first in (0, DIGIT):
+            at = [self._members(contexts, FIRST_DIGIT + first + d, seg) for d in range(DIGIT)]
+            found.append((np.concatenate(at), np.repeat(np.arange(DIGIT), [len(x) for x in at])))
+        out = np.zeros(len(contexts))
+        (a, da), (b, db) = found
+        order = np.argsort(b, kind="stable")
+        b, db = b[order], db[order]
+        lo, hi = np.searchsorted(b, a), np.searchsorted(b, a, side="right")
+        n = hi - lo  # each first digit with each second one of its context
+        left = np.repeat(np.arange(len(a)), n)
+        right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        at, digits = a[left], da[left] * DIGIT + db[right]
+        good = self._members(contexts[at], FIRST_DIGIT + 2 * DIGIT + digits, seg[at])
+        out[at[good]] = unit * FINE ** digits[good]
+        return out
+
+
+def _slices(texts: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
     lo = size = 0
     for i, t in enumerate(texts):
         if size and size + len(t) > most:
@@ -155,106 +286,61 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return h[first], np.add.reduceat(c, first) if len(first) else c
 
 
-#: Bytes of a hash that go over the wire; what they leave out is less likely to matter than the filter's errors.
-SENT = 6
-
-
-def _blocks(f: Filter, h: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Sorted hashes with counts, cut by segment."""
-    seg = f.segment(h)  # in order, as the hashes are
-    cut = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1]))) if len(h) else np.zeros(0, np.int64)
-    wire = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - SENT :]
-    bound = [*cut.tolist(), len(h)]
-    for i in range(0, len(cut), 512):
-        spans = list(zip(bound[i : i + 512], bound[i + 1 : i + 513], strict=False))
-        hs = pa.array([wire[x:y].tobytes() for x, y in spans], pa.binary())
-        cs = pa.array([np.minimum(c[x:y], (1 << 32) - 1).astype("<u4").tobytes() for x, y in spans], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(seg[cut[i : i + 512]], pa.int64()), hs, cs], names=["segment", "hashes", "counts"])
-
-
-def sent(h: np.ndarray) -> np.ndarray:
-    """Hashes as they come off the wire: the last bytes zero."""
-    return h & np.uint64((1 << 64) - (1 << (64 - 8 * SENT)))
-
-
-def _count_bigrams(segments: int) -> Callable:
-    f = Filter(segments, 1, np.zeros(0, np.uint8))
+def _count_bigrams(shared, segments: int) -> Callable:
+    def blocks(h: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Sorted keys with counts, cut by segment."""
+        seg = segment_of(h, segments)  # in order, as the keys are
+        cut = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1]))) if len(h) else np.zeros(0, np.int64)
+        bound = [*cut.tolist(), len(h)]
+        for i in range(0, len(cut), 512):
+            spans = list(zip(bound[i : i + 512], bound[i + 1 : i + 513], strict=False))
+            hs = pa.array([h[x:y].astype("<u8").tobytes() for x, y in spans], pa.binary())
+            cs = pa.array([np.minimum(c[x:y], (1 << 32) - 1).astype("<u4").tobytes() for x, y in spans], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(seg[cut[i : i + 512]], pa.int64()), hs, cs], names=["segment", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, hot = shared.value
         held, size = [], 0
         for b in batches:
             for _, texts in _slices(bytes_of(b.column(0))):
-                h, c = np.unique(sent(Stream(texts).bigrams()), return_counts=True)
+                s = Stream(texts)
+                h, c = np.unique(keys_of(s.before(), s.hash, frequent, hot), return_counts=True)
                 held.append((h, c))
                 size += len(h)
                 if size > 1_500_000:  # what one task holds doesn't grow with its input
-                    yield from _blocks(f, *_merged(held))
+                    yield from blocks(*_merged(held))
                     held, size = [], 0
         if size:
-            yield from _blocks(f, *_merged(held))
+            yield from blocks(*_merged(held))
 
     return run
 
 
-def _unigrams_as_blocks(segments: int) -> Callable:
-    """Counted tokens (token, c) as blocks of the filter; their hashes are those of a token after nothing."""
-    f = Filter(segments, 1, np.zeros(0, np.uint8))
+def _fill_segments(rare: float, bits_per_entry: int) -> Callable:
+    error = (1 - math.exp(-PROBES / bits_per_entry)) ** PROBES
+    value = read_mass(error)
+    unit = rare * float(MASS[1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                h = sent(unigram_hashes(b.column(0).to_pylist()))
-                c = b.column(1).to_numpy()
-                order = np.argsort(h, kind="stable")
-                yield from _blocks(f, h[order], c[order])
-
-    return run
-
-
-def unigram_hashes(words: list[bytes]) -> np.ndarray:
-    """The unigram hash of each token, as Stream.unigrams() has it."""
-    s = Stream([b"" if w == END else w for w in words])
-    at = np.where(s.n_tokens == 1, s.last, s.last - 1)  # the word, or the end alone
-    return s.unigrams()[at]
-
-
-def _fill_segments(segments: int, bits: int) -> Callable:
-    def fill(key: tuple, t: pa.Table) -> pa.Table:
-        f = Filter(segments, bits, np.zeros(0, np.uint8))
-        wire = np.frombuffer(b"".join(t["hashes"].to_pylist()), np.uint8).reshape(-1, SENT)
-        full = np.zeros((len(wire), 8), np.uint8)
-        full[:, 8 - SENT :] = wire
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        h = np.frombuffer(b"".join(t["keys"].to_pylist()), "<u8")
         c = np.frombuffer(b"".join(t["counts"].to_pylist()), "<u4").astype(np.int64)
-        h, c = _merged([(full.reshape(-1).view("<u8"), c)])
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int64()), "bytes": pa.array([f.fill(h, quantise(c)).tobytes()], pa.binary())})
-
-    return fill
-
+        h, c = _merged([(h, c)])
+        q = quantise(c)
+        group = h >> np.uint64(LOW)
+        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        total = np.add.reduceat(value[q] * np.where(h & np.uint64(1), 1.0, rare), first)
+        group = group[first]
+        spread = (group & np.uint64(1)) == 1
+        bits = max(64, int(q.sum() + 3 * (~spread).sum()) * bits_per_entry // 8 * 8)
+        data = fill(h, q, group[~spread] << np.uint64(LOW), _digits(total[~spread], unit), bits)
+        share = float(np.unpackbits(data).mean())
+        cols = [[key[0].as_py()], [bits], [share**PROBES], [data.tobytes()], [group[spread].tobytes()], [total[spread].tobytes()]]
+        return pa.table({n: pa.array(x, k) for n, x, k in zip(_SEGMENT, cols, (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()), strict=True)})
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = sum(b.column(0).to_numpy().sum() for b in batches if b.num_rows)
-    yield pa.RecordBatch.from_arrays([pa.array([int(n)], pa.int64())], names=["n"])
+    return run
 
 
-def build_filter(texts: DataFrame, counts: DataFrame, bits_per_entry: float = 8.0, entries_per_byte: float = 0.11, max_filter_bytes: int = 256 << 20, segment_bytes: int = 1 << 18) -> Filter:
-    """Learn all bigrams of a frame of one binary column, and the unigrams of (token, c).
-
-    The size comes from the number of text bytes, at about `entries_per_byte` memberships each. A segment's
-    n-grams meet in one task; there are as many segments as `segment_bytes` asks for, so a task's share
-    doesn't grow with the input until the bound is reached.
-    """
-    total = texts.agg(F.sum(F.length(texts.columns[0]))).first()[0] or 0
-    want = max(segment_bytes, total * entries_per_byte * bits_per_entry / 8)
-    size = int(min(want, max_filter_bytes))
-    segments = max(1, round(size / segment_bytes))
-    bits = size * 8 // segments // 8 * 8
-    kind = "segment long, hashes binary, counts binary"
-    blocks = texts.mapInArrow(_count_bigrams(segments), kind).unionByName(counts.mapInArrow(_unigrams_as_blocks(segments), kind))
-    filled = blocks.groupBy("segment").applyInArrow(_fill_segments(segments, bits), "segment long, bytes binary")
-    data = np.zeros(segments * bits // 8, np.uint8)
-    for r in filled.toLocalIterator():
-        data[r["segment"] * bits // 8 : (r["segment"] + 1) * bits // 8] = np.frombuffer(r["bytes"], np.uint8)
-    return Filter(segments, bits, data)
+_SEGMENT = ["segment", "bits", "error", "data", "groups", "totals"]
 
 
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,148 +369,182 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    filter: Filter
+    """What is broadcast besides a shard of the filter."""
+
     total: int  # N, all training tokens
     distinct: int  # V
-    documents: int  # how often the end comes
-    weights: np.ndarray  # of the unigram, by class of count(v)
-
-
-def _class(c: np.ndarray) -> np.ndarray:
-    return np.minimum(CLASSES - 1, np.floor(np.log2(np.maximum(c, 1)) / 2)).astype(np.int64)
-
-
-def _parts(texts: list[bytes], m: Model, table: dict[bytes, int]) -> tuple:
-    """For the tokens of some texts: count(w), count(v), count(v w) as the model has them."""
-    s = Stream(texts)
-    _, first, back = np.unique(s.hash, return_index=True, return_inverse=True)
-    w = s.words
-    at = np.cumsum(~s.end) - 1  # a token's place among the words
-    raw, start, end = w.raw, w.start, w.end
-    names = [END if s.end[i] else raw[start[at[i]] : end[at[i]]] for i in first.tolist()]
-    exact = np.array([table.get(x, -1) for x in names], np.int64)
-    held = dequantise(m.filter.levels(sent(s.unigrams()[first])))
-    c1 = np.where(exact >= 0, exact, held)[back]
-    known = (exact >= 0)[back]
-    begin = np.concatenate(([True], s.end[:-1])) if len(c1) else s.end
-    cv = np.where(begin, float(m.documents), np.concatenate(([0.0], c1[:-1])) if len(c1) else c1)
-    h, back2 = np.unique(sent(s.bigrams()), return_inverse=True)
-    c2 = np.minimum(dequantise(m.filter.levels(h))[back2], cv)
-    return s, names, first, back, known, c1, cv, c2
-
-
-def _probability(c1: np.ndarray, cv: np.ndarray, c2: np.ndarray, a: np.ndarray, m: Model) -> np.ndarray:
-    p1 = (c1 + 1) / (m.total + m.distinct + 1)
-    return np.log10(np.minimum(1.0, np.where(cv > 0, (1 - a) * c2 / np.maximum(cv, 1), 0) + np.where(cv > 0, a, 1.0) * p1))
-
-
-_tables: dict[int, dict[bytes, int]] = {}
-
-
-def _table(key: int, words: list[bytes], counts: np.ndarray) -> dict[bytes, int]:
-    """The broadcast table as a dictionary, made once in a worker process."""
-    if key not in _tables:
-        _tables.clear()
-        _tables[key] = dict(zip(words, counts.tolist(), strict=True))
-    return _tables[key]
-
-
-def _tune(shared) -> Callable:
-    """Log-likelihood of each class of count(v) under each weight, every bigram without itself."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, key, words, counts = shared.value
-        table = _table(key, words, counts)
-        total = np.zeros((CLASSES, len(WEIGHTS)))
-        for b in batches:
-            for _, texts in _slices(bytes_of(b.column(0))):
-                _, _, _, _, _, c1, cv, c2 = _parts(texts, m, table)
-                c1, cv, c2 = np.maximum(0, c1 - 1), np.maximum(0, cv - 1), np.maximum(0, c2 - 1)
-                cl = _class(cv)
-                for i, a in enumerate(WEIGHTS):
-                    total[:, i] += np.bincount(cl, weights=_probability(c1, cv, c2, np.full(len(c1), a), m), minlength=CLASSES)
-        at = np.indices(total.shape).reshape(2, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(at[0].astype(np.int32)), pa.array(at[1].astype(np.int32)), pa.array(total.reshape(-1))], names=["class", "weight", "ll"])
-
-    return run
-
-
-ROW = "key long, token binary, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, times long"
+    documents: int  # how often START comes
+    frequent: Table  # counts
+    hot: Table  # numbers of groups
+    hot_totals: Table  # M(v) of these contexts
+    hot_error: float
+    rare: float  # weight of bigrams whose second token isn't in `frequent`
+
+    @property
+    def unit(self) -> float:
+        return self.rare * float(MASS[1])
+
+    def unseen(self) -> float:
+        """The weight of all tokens that a context's members may be taken from."""
+        return len(self.frequent.hashes) + self.rare * (self.distinct - len(self.frequent.hashes))
+
+
+def terms(v: np.ndarray, w: np.ndarray, m: Model, f: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mine, x, b): which bigrams the shard decides, and p = x + b * p(w) of those."""
+    key = keys_of(v, w, m.frequent, m.hot)
+    mine = f.has(segment_of(key, f.segments))
+    key, back = np.unique(key[mine], return_inverse=True)
+    seg = segment_of(key, f.segments) - f.first
+    weight = np.where(key & np.uint64(1), 1.0, m.rare)
+    value = MASS[f.levels(key, seg)] * weight
+    contexts, at, first = np.unique(v[mine], return_index=True, return_inverse=True)
+    group = key[back[at]] >> np.uint64(LOW) << np.uint64(LOW)
+    own = f.totals(group, seg[back[at]], m.unit)
+    parts = m.hot.get(contexts)
+    total = np.where(parts > 0, np.maximum(m.hot_totals.get(contexts), 0), own)
+    missed = false_mass(np.where(parts > 0, m.hot_error, f.error[seg[back[at]]])) * m.unseen()
+    times = np.where(contexts == START, m.documents, m.frequent.get(contexts))
+    keep = total / (np.maximum(times, total + DISCOUNT) + missed)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        scale = np.where(total > 0, keep / (total + missed), 0.0)
+    return mine, value[back] * scale[first], (1 - keep)[first]
+
+
+ROW = "key long, token binary, doc_id long, held_out boolean, rows int, n_tokens long, n_known long, logs double, score double, x float, b float"
+_NAMES = [x.split()[0] for x in ROW.split(", ")]
 
 
-def _score(shared) -> Callable:
-    """A row per text with its score and its sums over the table's tokens; a row per other token of a text.
+def _score(shared, shard) -> Callable:
+    """A row per text with the sums over its frequent tokens (of the shard's contexts), and one per other token.
 
     A text's row has a token of its own that no text can hold, so these rows spread evenly in the join.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, key, words, counts = shared.value
-        table = _table(key, words, counts)
-        serial = TaskContext.get().partitionId() << 40
+        m, f = shared.value, shard.value
         for b in batches:
-            for lo, texts in _slices(bytes_of(b.column(2))):
+            for lo, texts in _slices(bytes_of(b.column(3))):
                 n = len(texts)
-                s, names, first, back, known, c1, cv, c2 = _parts(texts, m, table)
-                p = _probability(c1, cv, c2, m.weights[_class(cv)], m)
-                of = lambda x: np.bincount(s.doc, weights=x, minlength=n)  # noqa: B023, E731
-                logs, n_known = of(np.where(known, np.log10(c1 + 1), 0)), of(known).astype(np.int64)
-                keys = serial + np.arange(n)
-                serial += n
-                ids, held = b.column(0).slice(lo, n), b.column(1).slice(lo, n)
-                own = pa.array([b" " + str(k).encode() for k in keys.tolist()], pa.binary())
-                zeros = np.zeros(n, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), own, ids, held, pa.array(s.n_tokens), pa.array(n_known), pa.array(logs), pa.array(of(p)), pa.array(zeros)], names=_NAMES)
+                s = Stream(texts)
+                v, w = s.before(), s.hash
+                mine, x, back = terms(v, w, m, f)
+                doc, w = s.doc[mine], w[mine]
+                c = m.frequent.get(w)
+                known = c >= 0
+                p = x + back * ((c + 1) / (m.total + m.distinct + 1))
+                of = lambda y: np.bincount(doc[known], weights=y[known], minlength=n).astype(float)  # noqa: B023, E731
+                keys, ids, held = (b.column(i).slice(lo, n) for i in range(3))
+                key = keys.to_numpy()
+                own = pa.array([b" " + str(k).encode() for k in key.tolist()], pa.binary())
+                one = np.ones(len(w))
+                with np.errstate(divide="ignore"):
+                    logs, score = of(np.log10(c + 1)), of(np.log10(p))
+                n_known = of(one).astype(np.int64)
+                tokens_of = np.bincount(doc, minlength=n)
+                first = np.full(n, f.first == 0, np.int32)
+                none = pa.nulls(n, pa.float32())
+                yield pa.RecordBatch.from_arrays([keys, own, ids, held, pa.array(first), pa.array(tokens_of), pa.array(n_known), pa.array(logs), pa.array(score), none, none], names=_NAMES)
                 rare = np.flatnonzero(~known)
-                pair, times = np.unique((s.doc[rare] << 32) | back[rare], return_counts=True)
-                for i in range(0, len(pair), 100_000):
-                    d, t = pair[i : i + 100_000] >> 32, pair[i : i + 100_000] & ((1 << 32) - 1)
-                    k, none = len(d), pa.nulls
+                if not len(rare):
+                    continue
+                word = (np.cumsum(~s.end) - 1)[mine][rare]  # its place among the words; ends are the table's
+                start, end, raw = s.words.start, s.words.end, s.words.raw
+                for i in range(0, len(rare), 100_000):
+                    r, at = rare[i : i + 100_000], word[i : i + 100_000]
+                    names = [END if e else raw[j:k] for e, j, k in zip(s.end[mine][r].tolist(), start[at].tolist(), end[at].tolist(), strict=True)] if len(s.words.start) else [END] * len(r)
+                    k, none = len(r), pa.nulls
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[d]), pa.array([names[x] for x in t.tolist()], pa.binary()), none(k, pa.int64()), none(k, pa.bool_()), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.float64()), none(k, pa.float64()), pa.array(times[i : i + 100_000].astype(np.int64))],
+                        [pa.array(key[doc[r]]), pa.array(names, pa.binary()), none(k, pa.int64()), none(k, pa.bool_()), none(k, pa.int32()), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.float64()), none(k, pa.float64()), pa.array(x[r].astype(np.float32)), pa.array(back[r].astype(np.float32))],
                         names=_NAMES,
                     )
 
     return run
 
 
-_NAMES = [x.split()[0] for x in ROW.split(", ")]
-_serial = count()
+def shards(filled: DataFrame, segments: int, most: int) -> Iterator[Shard]:
+    """The filter's segments in order, as many to a shard as its size allows (one at least). Segments without
+    entries have one byte of zeros."""
+    sizes = {r["segment"]: r["n"] for r in filled.select("segment", F.length("data").alias("n")).toLocalIterator()}
+    lo = 0
+    while lo < segments:
+        hi, size = lo, 0
+        while hi < segments and (hi == lo or size + sizes.get(hi, 1) <= most):
+            size += sizes.get(hi, 1)
+            hi += 1
+        n = np.array([sizes.get(i, 1) for i in range(lo, hi)], np.int64)
+        shard = Shard(segments, lo, np.cumsum(n) - n, np.full(hi - lo, 8, np.uint64), np.zeros(hi - lo), np.zeros(int(n.sum()), np.uint8))
+        for r in filled.where(F.col("segment").between(lo, hi - 1)).select("segment", "bits", "error", "data").toLocalIterator():
+            i = r["segment"] - lo
+            shard.bits[i], shard.error[i] = r["bits"], r["error"]
+            shard.data[shard.begin[i] : shard.begin[i] + n[i]] = np.frombuffer(r["data"], np.uint8)
+        yield shard
+        lo = hi
+
+
+def learn(texts: DataFrame, bits_per_entry: int = BITS_PER_ENTRY, segment_bytes: int = 1 << 19) -> tuple[Model, DataFrame, DataFrame, int]:
+    """(model, counts, filled, segments) of a frame of one binary column: the broadcast tables, (token, c) of all
+    tokens, and the filter's segments, which stay with the executors.
+
+    A segment's bigrams meet in one task; there are as many segments as `segment_bytes` asks for at 0.1 entries a
+    byte of text, so a task's share doesn't grow with the input.
+    """
+    spark = texts.sparkSession
+    counts = written(token_counts(texts))
+    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    size, n_texts = texts.agg(F.coalesce(F.sum(F.length(texts.columns[0])), F.lit(0)), F.count(F.lit(1))).first()
+    top = counts.where(F.col("c") >= F.lit(max(1.0, total * FREQUENT_SHARE))).toArrow()
+    frequent = Table.of(token_hashes(top["token"].to_pylist()), top["c"].to_numpy())
+    segments = max(1, round(size * 0.1 * bits_per_entry / 8 / segment_bytes))
+    # a context of more than half a segment's share of all tokens gets several groups; START always does
+    most = max(total * HOT_SHARE, total / (2 * segments), 1.0)
+    many = frequent.values > most
+    parts = np.minimum(1024, 2 ** np.ceil(np.log2(np.maximum(2, np.append(frequent.values[many], n_texts) / most)))).astype(np.int64)
+    hot = Table.of(np.append(frequent.hashes[many], START), parts)
+    n_rare = distinct - len(frequent.hashes)
+    rare = min(1.0, len(frequent.hashes) / n_rare) if n_rare else 1.0
+    shared = spark.sparkContext.broadcast((frequent, hot))
+    blocks = texts.mapInArrow(_count_bigrams(shared, segments), "segment long, keys binary, counts binary")
+    kind = "segment long, bits long, error double, data binary, groups binary, totals binary"
+    filled = written(blocks.groupBy("segment").applyInArrow(_fill_segments(rare, bits_per_entry), kind))
+    shared.unpersist()
+    held: dict[int, float] = {}
+    for r in filled.where(F.length("groups") > 0).select("groups", "totals").toLocalIterator():
+        held.update(zip(np.frombuffer(r["groups"], "<u8").tolist(), np.frombuffer(r["totals"], "<f8").tolist(), strict=True))
+    sums = [sum(held.get(g, 0.0) for g in group_of(np.full(n, v, np.uint64), np.arange(1, n + 1)).tolist()) for v, n in zip(hot.hashes, hot.values.tolist(), strict=True)]
+    error = filled.agg(F.avg("error")).first()[0] or 0.0
+    return Model(total, distinct, n_texts, frequent, hot, Table(hot.hashes, np.array(sums)), error, rare), counts, filled, segments
 
 
-def score_documents(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", tune_rows: int = 2000, **filter_options) -> DataFrame:
+def score_documents(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", max_shard_bytes: int = 256 << 20, **filter_options) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows that `held` doesn't mark.
     """
     spark = docs.sparkSession
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), held.alias("held_out"), docs[text_col].cast("binary").alias("text"))
-    train = rows.where("NOT held_out").select("doc_id", "text")
-    texts = train.select(F.coalesce("text", F.lit(b"")).alias("text"))
-    counts = materialize(token_counts(texts))
-    n_train = rows.where("NOT held_out").count()
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.where(F.col("c") >= F.lit(max(1.0, total * FREQUENT_SHARE))).toArrow()
-    words, tops = top["token"].to_pylist(), top["c"].to_numpy()
-    model = Model(build_filter(texts, counts, **filter_options), total, distinct, n_train, np.full(CLASSES, 1.0))
-    key = (os.getpid() << 20) + next(_serial)
-    shared = spark.sparkContext.broadcast((model, key, words, tops))
-    sample = bounded_sample(train, F.col("doc_id"), n_train, tune_rows).select("text")
-    ll = np.zeros((CLASSES, len(WEIGHTS)))
-    for r in sample.mapInArrow(_tune(shared), "class int, weight int, ll double").groupBy("class", "weight").agg(F.sum("ll").alias("ll")).collect():
-        ll[r["class"], r["weight"]] = r["ll"]
-    shared.unpersist()
-    model.weights = WEIGHTS[len(WEIGHTS) - 1 - ll[:, ::-1].argmax(axis=1)]
-    shared = spark.sparkContext.broadcast((model, key, words, tops))
-    scored = rows.mapInArrow(_score(shared), ROW)
+    text = F.coalesce(docs[text_col].cast("binary"), F.lit(b""))
+    ids = docs[id_col].cast("long")
+    # a row's key is made of its own values, so it is the same in every pass; equal rows share one
+    rows = docs.select(F.xxhash64(F.coalesce(ids, F.lit(0)), ids.isNull(), text).alias("key"), ids.alias("doc_id"), held.alias("held_out"), text.alias("text"))
+    model, counts, filled, segments = learn(rows.where("NOT held_out").select("text"), **filter_options)
+    shared = spark.sparkContext.broadcast(model)
+    passes = [rows.mapInArrow(_score(shared, spark.sparkContext.broadcast(f)), ROW) for f in shards(filled, segments, max_shard_bytes)]
+    scored = passes[0]
+    for more in passes[1:]:
+        scored = scored.unionByName(more)
     joined = scored.join(counts, "token", "left")
-    log = F.lit(math.log10(total + distinct + 1)) if total else F.lit(0.0)
+    of_all = F.lit(model.total + model.distinct + 1)
+    c = F.coalesce("c", F.lit(0))
+    other = F.col("x").isNotNull()
     sums = joined.groupBy("key").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("held_out").alias("held_out"),
-        F.max("n_tokens").alias("n_tokens"),
-        (F.max("n_known") + F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0))).alias("n_known"),
-        (F.max("logs") + F.sum(F.col("times") * F.coalesce(F.log10(F.col("c") + 1), F.lit(0.0)))).alias("logs"),
-        F.max("score").alias("score"),
+        F.sum("rows").cast("int").alias("rows"),
+        (F.sum(F.coalesce("n_tokens", F.lit(0)))).alias("n_tokens"),
+        F.sum(F.when(other, F.col("c").isNotNull().cast("long")).otherwise(F.col("n_known"))).alias("n_known"),
+        F.sum(F.when(other, F.log10(c + 1)).otherwise(F.col("logs"))).alias("logs"),
+        F.sum(F.when(other, F.log10(F.col("x") + F.col("b") * ((c + 1) / of_all))).otherwise(F.col("score"))).alias("score"),
     )
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * log).alias("base_score"), "score")
+    each = sums.select("*", F.explode(F.sequence(F.lit(1), "rows")))
+    of = lambda name: F.col(name) / F.col("rows")
+    whole = lambda name: F.expr(f"{name} div rows").alias(name)
+    return each.select("doc_id", "held_out", whole("n_tokens"), whole("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (of("logs") - whole("n_tokens") * F.log10(of_all)).alias("base_score"), of("score").alias("score"))
