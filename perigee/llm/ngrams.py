@@ -13,7 +13,7 @@ sum of m over the bigrams that were learned after v; F is what non-members that
 expectation; 1 - b = M(v) / (count(v) + F). So the probabilities after each v sum to one in expectation over the
 filter's errors, and nothing has to be tuned. Bigrams whose second token is rare (see FREQUENT_SHARE) weigh less, so
 that the many rare tokens don't make most of F. M(v) is a number of three memberships in the filter (two digits and
-their check) to 1.5 %; exact for contexts whose bigrams are spread over several segments because they are many.
+their check) to some 4 %; exact for contexts whose bigrams are spread over several segments because they are many.
 
 Unigram counts of the tokens that make up a fixed share of all tokens (so their number is bounded) are broadcast as a
 table; other tokens are joined with their exact counts.
@@ -51,8 +51,8 @@ DISCOUNT = 0.75
 FREQUENT_SHARE = 5e-7
 #: Contexts of more than this share of all tokens at most are spread over segments.
 HOT_SHARE = 1 / 65536
-#: M(v) is held as a power of FINE, in two digits of DIGIT values.
-FINE, DIGIT = 1.03, 32
+#: M(v) is held on a logarithmic scale, in two digits of DIGIT values.
+DIGIT = 16
 _HASH_SEED = np.uint64(0x2545F4914F6CDD1D)
 #: Stands for the context of a text's first token.
 START = np.uint64(0x1F83D9ABFB41BD6B)
@@ -118,16 +118,16 @@ class Table:
 LOW = 28
 
 
-def keys_of(v: np.ndarray, w: np.ndarray, frequent: Table, hot: Table) -> np.ndarray:
-    """A key per bigram: the context's group, then a hash of the second token. Bigrams of a context share a group,
-    or one of as many groups as `hot` has for it."""
+def keys_of(v: np.ndarray, w: np.ndarray, frequent: np.ndarray, hot: Table) -> np.ndarray:
+    """A key per bigram: the context's group, then a hash of the second token and whether it is frequent. Bigrams of
+    a context share a group, or one of as many groups as `hot` has for it."""
     parts = hot.get(v)
     with np.errstate(over="ignore"):
         own = mix(w * np.uint64(0x9E3779B97F4A7C15) + v)
         part = np.where(parts > 0, own % np.maximum(parts, 1).astype(np.uint64) + np.uint64(1), np.uint64(0))
         group = group_of(v, part)
     low = (own >> np.uint64(64 - LOW)) & np.uint64((1 << LOW) - 2)
-    return (group << np.uint64(LOW)) | low | (frequent.get(w) >= 0)
+    return (group << np.uint64(LOW)) | low | frequent
 
 
 def group_of(v: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -176,20 +176,39 @@ def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
 def _places(h: np.ndarray, kind: np.ndarray | int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
     """The bits of a segment that an entry sets, one after another."""
     with np.errstate(over="ignore"):
-        x = mix(h + np.asarray(kind, np.uint64) * np.uint64(0xA24BAED4963EE407))
-        step = mix(x) | np.uint64(1)
+        x, step = _start(h, kind)
         for _ in range(PROBES):
             yield (x % np.asarray(bits, np.uint64)).astype(np.int64)
             x = x + step
 
 
+def _start(h: np.ndarray, kind: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Where an entry's probes begin and how far they go; both depend on all bits of the key."""
+    with np.errstate(over="ignore"):
+        x = mix(h)
+        return x + np.asarray(kind, np.uint64) * np.uint64(0xA24BAED4963EE407), (x >> np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+
+
 #: Kinds of entries: a bigram's levels from 1 on, then a context's digits and their check.
 FIRST_DIGIT = 1 << 20
 
 
-def _digits(total: np.ndarray, unit: float) -> np.ndarray:
-    """M(v) as a number below DIGIT ** 2."""
-    return np.clip(np.round(np.log(np.maximum(total, unit) / unit) / math.log(FINE)), 0, DIGIT * DIGIT - 1).astype(np.int64)
+@dataclass
+class Scale:
+    """Numbers from `unit` on as whole numbers below DIGIT ** 2."""
+
+    unit: float
+    step: float  # in logarithms
+
+    @classmethod
+    def to(cls, unit: float, most: float) -> Scale:
+        return cls(unit, math.log(max(2.0, most / unit)) / (DIGIT * DIGIT - 1))
+
+    def number(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(np.round(np.log(np.maximum(x, self.unit) / self.unit) / self.step), 0, DIGIT * DIGIT - 1).astype(np.int64)
+
+    def value(self, number: np.ndarray) -> np.ndarray:
+        return self.unit * np.exp(number * self.step)
 
 
 def fill(h: np.ndarray, q: np.ndarray, contexts: np.ndarray, digits: np.ndarray, bits: int) -> np.ndarray:
@@ -212,27 +231,23 @@ class Shard:
     first: int
     begin: np.ndarray
     bits: np.ndarray
-    error: np.ndarray
+    missed: np.ndarray  # what a bigram that was never learned counts for in expectation
     data: np.ndarray
 
     def has(self, seg: np.ndarray) -> np.ndarray:
         return (seg >= self.first) & (seg < self.first + len(self.begin))
 
-    def _members(self, h: np.ndarray, kind: np.ndarray | int, seg: np.ndarray) -> np.ndarray:
-        """The indexes of the entries that are there."""
-        left = np.arange(len(h))
-        kind = np.broadcast_to(np.asarray(kind, np.int64), h.shape)
+    def _members(self, x: np.ndarray, step: np.ndarray, seg: np.ndarray) -> np.ndarray:
+        """The indexes of the entries that are there, given where their probes begin and how far they go."""
+        left = np.arange(len(x))
         with np.errstate(over="ignore"):
-            x = mix(h + kind.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-            step = None
             for _ in range(PROBES):
                 at = (x % self.bits[seg]).astype(np.int64)
-                hit = (self.data[self.begin[seg] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
-                left, x, seg = left[hit], x[hit], seg[hit]
+                hit = np.flatnonzero((self.data[self.begin[seg] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1)
+                left, seg, step = left[hit], seg[hit], step[hit]
                 if not len(left):
                     break
-                step = mix(x) | np.uint64(1) if step is None else step[hit]
-                x = x + step
+                x = x[hit] + step
         return left
 
     def levels(self, h: np.ndarray, seg: np.ndarray) -> np.ndarray:
@@ -241,27 +256,30 @@ class Shard:
         left, level = np.arange(len(h)), 0
         while len(left) and level < 59:
             level += 1
-            left = left[self._members(h[left], level, seg[left])]
+            left = left[self._members(*_start(h[left], level), seg[left])]
             q[left] = level
         return q
 
-    def totals(self, contexts: np.ndarray, seg: np.ndarray, unit: float) -> np.ndarray:
+    def totals(self, contexts: np.ndarray, seg: np.ndarray, scale: Scale) -> np.ndarray:
         """M(v) of groups; 0 where none is held."""
         found = []
-        for first in (0, DIGIT):
-            at = [self._members(contexts, FIRST_DIGIT + first + d, seg) for d in range(DIGIT)]
-            found.append((np.concatenate(at), np.repeat(np.arange(DIGIT), [len(x) for x in at])))
-        out = np.zeros(len(contexts))
-        (a, da), (b, db) = found
-        order = np.argsort(b, kind="stable")
-        b, db = b[order], db[order]
-        lo, hi = np.searchsorted(b, a), np.searchsorted(b, a, side="right")
-        n = hi - lo  # each first digit with each second one of its context
-        left = np.repeat(np.arange(len(a)), n)
-        right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        at, digits = a[left], da[left] * DIGIT + db[right]
-        good = self._members(contexts[at], FIRST_DIGIT + 2 * DIGIT + digits, seg[at])
-        out[at[good]] = unit * FINE ** digits[good]
+        x, step = _start(contexts, 0)
+        of = lambda kind: np.asarray(FIRST_DIGIT + kind, np.uint64) * np.uint64(0xA24BAED4963EE407)
+        with np.errstate(over="ignore"):
+            for first in (0, DIGIT):
+                at = [self._members(x + of(first + d), step, seg) for d in range(DIGIT)]
+                found.append((np.concatenate(at), np.repeat(np.arange(DIGIT), [len(i) for i in at])))
+            out = np.zeros(len(contexts))
+            (a, da), (b, db) = found
+            order = np.argsort(b, kind="stable")
+            b, db = b[order], db[order]
+            lo, hi = np.searchsorted(b, a), np.searchsorted(b, a, side="right")
+            n = hi - lo  # each first digit with each second one of its context
+            left = np.repeat(np.arange(len(a)), n)
+            right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            at, number = a[left], da[left] * DIGIT + db[right]
+            good = self._members(x[at] + of(2 * DIGIT + number), step[at], seg[at])
+        out[at[good]] = scale.value(number[good])
         return out
 
 
@@ -304,7 +322,7 @@ def _count_bigrams(shared, segments: int) -> Callable:
         for b in batches:
             for _, texts in _slices(bytes_of(b.column(0))):
                 s = Stream(texts)
-                h, c = np.unique(keys_of(s.before(), s.hash, frequent, hot), return_counts=True)
+                h, c = np.unique(keys_of(s.before(), s.hash, frequent.get(s.hash) >= 0, hot), return_counts=True)
                 held.append((h, c))
                 size += len(h)
                 if size > 1_500_000:  # what one task holds doesn't grow with its input
@@ -316,10 +334,9 @@ def _count_bigrams(shared, segments: int) -> Callable:
     return run
 
 
-def _fill_segments(rare: float, bits_per_entry: int) -> Callable:
+def _fill_segments(rare: float, scale: Scale, bits_per_entry: int) -> Callable:
     error = (1 - math.exp(-PROBES / bits_per_entry)) ** PROBES
     value = read_mass(error)
-    unit = rare * float(MASS[1])
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         h = np.frombuffer(b"".join(t["keys"].to_pylist()), "<u8")
@@ -332,7 +349,7 @@ def _fill_segments(rare: float, bits_per_entry: int) -> Callable:
         group = group[first]
         spread = (group & np.uint64(1)) == 1
         bits = max(64, int(q.sum() + 3 * (~spread).sum()) * bits_per_entry // 8 * 8)
-        data = fill(h, q, group[~spread] << np.uint64(LOW), _digits(total[~spread], unit), bits)
+        data = fill(h, q, group[~spread] << np.uint64(LOW), scale.number(total[~spread]), bits)
         share = float(np.unpackbits(data).mean())
         cols = [[key[0].as_py()], [bits], [share**PROBES], [data.tobytes()], [group[spread].tobytes()], [total[spread].tobytes()]]
         return pa.table({n: pa.array(x, k) for n, x, k in zip(_SEGMENT, cols, (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()), strict=True)})
@@ -377,21 +394,18 @@ class Model:
     frequent: Table  # counts
     hot: Table  # numbers of groups
     hot_totals: Table  # M(v) of these contexts
-    hot_error: float
+    hot_missed: float  # as a shard's
     rare: float  # weight of bigrams whose second token isn't in `frequent`
-
-    @property
-    def unit(self) -> float:
-        return self.rare * float(MASS[1])
+    scale: Scale  # of M(v) in the filter
 
     def unseen(self) -> float:
         """The weight of all tokens that a context's members may be taken from."""
         return len(self.frequent.hashes) + self.rare * (self.distinct - len(self.frequent.hashes))
 
 
-def terms(v: np.ndarray, w: np.ndarray, m: Model, f: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mine, x, b): which bigrams the shard decides, and p = x + b * p(w) of those."""
-    key = keys_of(v, w, m.frequent, m.hot)
+def terms(v: np.ndarray, w: np.ndarray, known: np.ndarray, m: Model, f: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mine, x, b): which bigrams the shard decides, and p = x + b * p(w) of those. known: w is in the table."""
+    key = keys_of(v, w, known, m.hot)
     mine = f.has(segment_of(key, f.segments))
     key, back = np.unique(key[mine], return_inverse=True)
     seg = segment_of(key, f.segments) - f.first
@@ -399,10 +413,10 @@ def terms(v: np.ndarray, w: np.ndarray, m: Model, f: Shard) -> tuple[np.ndarray,
     value = MASS[f.levels(key, seg)] * weight
     contexts, at, first = np.unique(v[mine], return_index=True, return_inverse=True)
     group = key[back[at]] >> np.uint64(LOW) << np.uint64(LOW)
-    own = f.totals(group, seg[back[at]], m.unit)
+    own = f.totals(group, seg[back[at]], m.scale)
     parts = m.hot.get(contexts)
     total = np.where(parts > 0, np.maximum(m.hot_totals.get(contexts), 0), own)
-    missed = false_mass(np.where(parts > 0, m.hot_error, f.error[seg[back[at]]])) * m.unseen()
+    missed = np.where(parts > 0, m.hot_missed, f.missed[seg[back[at]]]) * m.unseen()
     times = np.where(contexts == START, m.documents, m.frequent.get(contexts))
     keep = total / (np.maximum(times, total + DISCOUNT) + missed)
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -427,16 +441,16 @@ def _score(shared, shard) -> Callable:
                 n = len(texts)
                 s = Stream(texts)
                 v, w = s.before(), s.hash
-                mine, x, back = terms(v, w, m, f)
-                doc, w = s.doc[mine], w[mine]
                 c = m.frequent.get(w)
+                mine, x, back = terms(v, w, c >= 0, m, f)
+                doc, c = s.doc[mine], c[mine]
                 known = c >= 0
                 p = x + back * ((c + 1) / (m.total + m.distinct + 1))
                 of = lambda y: np.bincount(doc[known], weights=y[known], minlength=n).astype(float)  # noqa: B023, E731
                 keys, ids, held = (b.column(i).slice(lo, n) for i in range(3))
                 key = keys.to_numpy()
                 own = pa.array([b" " + str(k).encode() for k in key.tolist()], pa.binary())
-                one = np.ones(len(w))
+                one = np.ones(len(c))
                 with np.errstate(divide="ignore"):
                     logs, score = of(np.log10(c + 1)), of(np.log10(p))
                 n_known = of(one).astype(np.int64)
@@ -475,7 +489,7 @@ def shards(filled: DataFrame, segments: int, most: int) -> Iterator[Shard]:
         shard = Shard(segments, lo, np.cumsum(n) - n, np.full(hi - lo, 8, np.uint64), np.zeros(hi - lo), np.zeros(int(n.sum()), np.uint8))
         for r in filled.where(F.col("segment").between(lo, hi - 1)).select("segment", "bits", "error", "data").toLocalIterator():
             i = r["segment"] - lo
-            shard.bits[i], shard.error[i] = r["bits"], r["error"]
+            shard.bits[i], shard.missed[i] = r["bits"], false_mass(r["error"])
             shard.data[shard.begin[i] : shard.begin[i] + n[i]] = np.frombuffer(r["data"], np.uint8)
         yield shard
         lo = hi
@@ -504,15 +518,16 @@ def learn(texts: DataFrame, bits_per_entry: int = BITS_PER_ENTRY, segment_bytes:
     rare = min(1.0, len(frequent.hashes) / n_rare) if n_rare else 1.0
     shared = spark.sparkContext.broadcast((frequent, hot))
     blocks = texts.mapInArrow(_count_bigrams(shared, segments), "segment long, keys binary, counts binary")
+    scale = Scale.to(rare * float(MASS[1]), 2 * most)
     kind = "segment long, bits long, error double, data binary, groups binary, totals binary"
-    filled = written(blocks.groupBy("segment").applyInArrow(_fill_segments(rare, bits_per_entry), kind))
+    filled = written(blocks.groupBy("segment").applyInArrow(_fill_segments(rare, scale, bits_per_entry), kind))
     shared.unpersist()
     held: dict[int, float] = {}
     for r in filled.where(F.length("groups") > 0).select("groups", "totals").toLocalIterator():
         held.update(zip(np.frombuffer(r["groups"], "<u8").tolist(), np.frombuffer(r["totals"], "<f8").tolist(), strict=True))
     sums = [sum(held.get(g, 0.0) for g in group_of(np.full(n, v, np.uint64), np.arange(1, n + 1)).tolist()) for v, n in zip(hot.hashes, hot.values.tolist(), strict=True)]
     error = filled.agg(F.avg("error")).first()[0] or 0.0
-    return Model(total, distinct, n_texts, frequent, hot, Table(hot.hashes, np.array(sums)), error, rare), counts, filled, segments
+    return Model(total, distinct, n_texts, frequent, hot, Table(hot.hashes, np.array(sums)), float(false_mass(error)), rare, scale), counts, filled, segments
 
 
 def score_documents(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", max_shard_bytes: int = 256 << 20, **filter_options) -> DataFrame:

@@ -92,7 +92,7 @@ def test_scores_as_a_plain_model(spark):
         got = sorted((r["doc_id"], r["n_tokens"], r["score"]) for r in run(spark, rows, **options))
         assert [g[:2] for g in got] == [w[:2] for w in want]
         for (_, n, x), (_, _, y) in zip(got, want, strict=True):
-            assert abs(x - y) <= 0.01 * n  # contexts' sums are held to 1.5 %
+            assert abs(x - y) <= 0.02 * n  # contexts' sums are held to 4 %
 
 
 def test_scores_do_not_depend_on_shards(spark):
@@ -113,6 +113,7 @@ def test_probabilities_sum_to_one(spark, bits, monkeypatch):
     c = {bytes(r["token"]): r["c"] for r in counts.collect()}
     words = sorted(c)
     w = ngrams.token_hashes(words)
+    frequent = model.frequent.get(w) >= 0
     p1 = np.array([c[x] + 1 for x in words]) / (model.total + model.distinct + 1)
     by_class = defaultdict(list)
     order = sorted(words, key=lambda x: zlib.crc32(x))
@@ -120,15 +121,15 @@ def test_probabilities_sum_to_one(spark, bits, monkeypatch):
         k = int(math.log(c[x], 4))
         if len(by_class[k]) < 40:
             v = np.full(len(w), w[words.index(x)])
-            _, own, b = ngrams.terms(v, w, model, shard)
+            _, own, b = ngrams.terms(v, w, frequent, model, shard)
             by_class[k].append(float((own + b * p1).sum() + b[0] / (model.total + model.distinct + 1)))
     assert len(by_class) >= 6
     for k, sums in by_class.items():
         assert abs(np.mean(sums) - 1) < 0.01, (k, sums)
     v = np.full(len(w), ngrams.START)
-    _, own, b = ngrams.terms(v, w, model, shard)
-    assert abs((own + b * p1).sum() - 1) < 0.02
-    _, own, b = ngrams.terms(np.full(len(w), np.uint64(12345)), w, model, shard)
+    _, own, b = ngrams.terms(v, w, frequent, model, shard)
+    assert abs((own + b * p1).sum() - 1) < 0.03
+    _, own, b = ngrams.terms(np.full(len(w), np.uint64(12345)), w, frequent, model, shard)
     assert abs((own + b * p1).sum() - 1) < 0.02  # a context that was never seen
 
 
@@ -149,15 +150,16 @@ def test_filter_holds_every_quantised_count():
     groups = np.unique(h >> np.uint64(ngrams.LOW))[::50] << np.uint64(ngrams.LOW)
     total = rng.pareto(1.0, len(groups)) + 1
     bits = int(q.sum() + 3 * len(groups)) * ngrams.BITS_PER_ENTRY // 8 * 8
-    data = np.frombuffer(ngrams.fill(h, q, groups, ngrams._digits(total, 0.25), bits), np.uint8)
+    scale = ngrams.Scale.to(0.25, total.max())
+    data = np.frombuffer(ngrams.fill(h, q, groups, scale.number(total), bits), np.uint8)
     f = ngrams.Shard(1, 0, np.zeros(1, np.int64), np.array([bits], np.uint64), np.zeros(1), data)
     seg = lambda x: np.zeros(len(x), np.int64)
     got = f.levels(h, seg(h))
     assert (got >= q).all() and (got == q).mean() > 0.99
-    assert np.abs(f.totals(groups, seg(groups), 0.25) / total - 1).max() < 0.016
+    assert np.abs(f.totals(groups, seg(groups), scale) / total - 1).max() < 0.04
     strange = np.unique(rng.integers(0, 1 << 63, 50_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
     assert (f.levels(strange, seg(strange)) > 0).mean() < 0.003
-    assert (f.totals(strange, seg(strange), 0.25) > 0).mean() < 0.01
+    assert (f.totals(strange, seg(strange), scale) > 0).mean() < 0.01
 
 
 def test_tokens_counted_and_named(spark):
