@@ -1,9 +1,10 @@
 """Exact dedup over a minimal perfect hash of the digests seen before.
 
-Historical digests are split into buckets by their leading bits. Each bucket gets a minimal perfect hash
-(a cascade of bit arrays; the rank of a key's bit is its slot); a slot holds the full digest, the winner's
-id and the group's size. New digests look their slot up and compare all 32 bytes; those that match repeat a
-historical group, the others group among themselves.
+Historical digests are split into buckets by their leading bits. Each bucket gets a minimal perfect hash (a cascade of
+bit arrays; the rank of a key's bit is its slot); a slot holds the full digest, the winner's id and the group's size.
+New digests look their slot up and compare all 32 bytes. Those that match are members: they go into the slot, which
+then names the winner and the size of the whole group, and leave; the others group among themselves. A row's winner is
+read from its digest's slot, or from its group of nonmembers.
 
 Defined results: null text counts as empty; runs of ASCII white space equal one space; a null id sorts after
 every other; of rows with the same id and text one stays; an empty table gives an empty result; columns
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perigee.llm.shared import held_out, materialize, mix
+from perigee.llm.shared import held_out, mix, written
 
 BLANKS = r"[\x20\x09-\x0D]+"
 GAMMA = 2.0
@@ -96,20 +97,32 @@ def _build(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     )
 
 
+def _slots(index: pa.Table, probe: np.ndarray) -> np.ndarray:
+    """The slot of each digest in a bucket's index; -1 for nonmembers, by comparing whole digests."""
+    if not len(probe) or not index.num_rows:
+        return np.full(len(probe), -1, np.int64)
+    levels = [np.unpackbits(np.frombuffer(x[:-8], np.uint8), count=int.from_bytes(x[-8:], "little")).astype(bool) for x in index["levels"][0].as_py()]
+    held = np.frombuffer(index["digests"][0].as_py(), np.uint8).reshape(-1, 32)
+    slot = PerfectHash(levels).slots(probe)
+    return np.where((slot >= 0) & (held[np.maximum(slot, 0)] == probe).all(axis=1), slot, -1)
+
+
 def _lookup(key: tuple[pa.Scalar, ...], new: pa.Table, index: pa.Table) -> pa.Table:
-    """New groups with what the history holds of the same digest."""
-    n = new.num_rows
-    winner, size, member = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
-    if n and index.num_rows:
-        levels = [np.unpackbits(np.frombuffer(x[:-8], np.uint8), count=int.from_bytes(x[-8:], "little")).astype(bool) for x in index["levels"][0].as_py()]
-        held = np.frombuffer(index["digests"][0].as_py(), np.uint8).reshape(-1, 32)
-        winners, sizes = (np.frombuffer(index[c][0].as_py(), "<i8") for c in ("winners", "sizes"))
-        probe = _rows(new["digest"])
-        slot = PerfectHash(levels).slots(probe)
-        at = np.maximum(slot, 0)
-        member = (slot >= 0) & (held[at] == probe).all(axis=1)
-        winner, size = np.where(member, winners[at], 0), np.where(member, sizes[at], 0)
-    return new.append_column("old_first", pa.array(winner, pa.int64(), mask=~member)).append_column("old_n", pa.array(size, pa.int64()))
+    """New groups with the slot that the history has for their digest."""
+    return new.append_column("slot", pa.array(_slots(index, _rows(new["digest"])), pa.int64()))
+
+
+def _fold(key: tuple[pa.Scalar, ...], index: pa.Table, members: pa.Table) -> pa.Table:
+    """A bucket's slots as (digest, keep, group_size), with the members that were found put in."""
+    if not index.num_rows:
+        return pa.table({"digest": pa.array([], pa.binary()), "keep": pa.array([], pa.int64()), "group_size": pa.array([], pa.int64())})
+    winners, sizes = (np.frombuffer(index[c][0].as_py(), "<i8").copy() for c in ("winners", "sizes"))
+    if members.num_rows:
+        slot = members["slot"].to_numpy()
+        np.minimum.at(winners, slot, members["first_id"].to_numpy())
+        np.add.at(sizes, slot, members["n"].to_numpy())
+    flat = index["digests"][0].as_py()
+    return pa.table({"digest": pa.array([flat[i : i + 32] for i in range(0, len(flat), 32)], pa.binary()), "keep": pa.array(winners), "group_size": pa.array(sizes)})
 
 
 #: Stands for a null id inside the index: larger than any id that a table will hold.
@@ -131,16 +144,22 @@ def build_index(pairs: DataFrame, buckets: int) -> DataFrame:
 
 
 def lookup(groups: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
-    """Groups (digest, first_id, n) with old_first and old_n of the index (null and 0: not there)."""
+    """Groups (digest, first_id, n) with their bucket and slot in the index (-1: not there)."""
     new = _bucketed(groups, buckets).groupBy("bucket")
-    return new.cogroup(index.groupBy("bucket")).applyInArrow(_lookup, "digest binary, first_id long, n long, bucket long, old_first long, old_n long")
+    return new.cogroup(index.groupBy("bucket")).applyInArrow(_lookup, "digest binary, first_id long, n long, bucket long, slot long")
+
+
+def fold(index: DataFrame, members: DataFrame) -> DataFrame:
+    """(digest, keep, group_size) of each slot, with members (bucket, slot, first_id, n) put in."""
+    mine = members.select("bucket", "slot", "first_id", "n").groupBy("bucket")
+    return index.groupBy("bucket").cogroup(mine).applyInArrow(_fold, "digest binary, keep long, group_size long")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), normalised_digest(docs[text_col]).alias("digest"))
 
 
-def exact_groups(docs: DataFrame, history: Column | None = None, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = 16384) -> DataFrame:
+def exact_groups(docs: DataFrame, history: Column | None = None, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = 2048) -> DataFrame:
     """(digest, id, m, keep_id, group_size) for each distinct digest and id of `docs`; m counts equal rows.
 
     `history` marks the rows whose digests make the index; by default half of the ids, so that both the
@@ -153,17 +172,15 @@ def exact_groups(docs: DataFrame, history: Column | None = None, id_col: str = "
     buckets = max(1, math.ceil(docs.count() / 2 / bucket_keys))
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), normalised_digest(docs[text_col]).alias("digest"), F.coalesce(history, F.lit(False)).alias("old"))
     # written once: the index, the lookup and the result read it, and texts are digested a single time
-    pairs = materialize(rows.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("m"), F.max("old").alias("old")))
-    index = build_index(pairs.where("old"), buckets)
-    found = lookup(_groups(pairs.where("NOT old")), index, buckets)
-    news = found.select("digest", F.least("first_id", F.coalesce("old_first", F.lit(NO_ID))).alias("keep"), (F.col("n") + F.col("old_n")).alias("size"))
-    # history that no new row repeats has its own groups
-    olds = _groups(pairs.where("old")).select("digest", F.col("first_id").alias("keep"), F.col("n").alias("size"))
-    merged = news.unionByName(olds).groupBy("digest").agg(F.min("keep").alias("keep"), F.max("size").alias("group_size"))
-    return pairs.select("digest", "id", "m").join(merged, "digest")
+    pairs = written(rows.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("m"), F.max("old").alias("old")))
+    index = written(build_index(pairs.where("old"), buckets))
+    found = written(lookup(_groups(pairs.where("NOT old")), index, buckets))
+    slots = fold(index, found.where("slot >= 0"))
+    strangers = found.where("slot < 0").select("digest", F.col("first_id").alias("keep"), F.col("n").alias("group_size"))
+    return pairs.select("digest", "id", "m").join(slots.unionByName(strangers), "digest")
 
 
-def exact_dedup(docs: DataFrame, history: Column | None = None, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = 16384) -> DataFrame:
+def exact_dedup(docs: DataFrame, history: Column | None = None, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = 2048) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     g = exact_groups(docs, history, id_col, text_col, bucket_keys)
     each = g.select("*", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("nth"))

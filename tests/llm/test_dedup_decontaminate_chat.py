@@ -52,6 +52,16 @@ def test_exact_dedup_of_nothing_and_the_rows_that_stay(spark):
     assert sorted((r["doc_id"], r["text"]) for r in got if r["doc_id"] is not None) == want and len(got) == 6
 
 
+def test_winners_come_from_the_slots(spark, monkeypatch):
+    """Without the lookup, members aren't found and their groups fall apart."""
+    rows = ROWS + [(i, f"text {i % 37}") for i in range(100, 400)]
+    want = brute_groups(rows)
+    assert sorted(map(tuple, exact_dedup.exact_dedup(table(spark, rows)).collect()), key=str) == want
+    blind = lambda groups, index, buckets: exact_dedup._bucketed(groups, buckets).selectExpr("digest", "first_id", "n", "bucket", "cast(-1 as bigint) as slot")
+    monkeypatch.setattr(exact_dedup, "lookup", blind)
+    assert sorted(map(tuple, exact_dedup.exact_dedup(table(spark, rows)).collect()), key=str) != want
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 256, (5000, 32), dtype=np.uint8), axis=0)
