@@ -45,7 +45,7 @@ from perigee.llm.shared import LOWER, WordBatch, bytes_of, mix, written
 END = b" "
 BASE = 1.5
 PROBES = 6
-BITS_PER_ENTRY = 16
+BITS_PER_ENTRY = 14
 DISCOUNT = 0.75
 #: Tokens of at least this share of all tokens are in the broadcast table: 2,000,000 at most.
 FREQUENT_SHARE = 5e-7
@@ -77,12 +77,13 @@ class Stream:
             self.hash[~self.end] = w.hashes()
         self.doc = np.repeat(np.arange(len(texts)), self.n_tokens)
 
-    def before(self) -> np.ndarray:
-        """The hash of the token before each; at a text's beginning, of START."""
-        if not len(self.hash):
-            return self.hash
-        first = np.concatenate(([True], self.end[:-1]))
-        return np.where(first, START, np.concatenate(([START], self.hash[:-1])))
+    def before(self, of: np.ndarray, start) -> np.ndarray:
+        """What the token before each one has, given what each one has; `start` at a text's beginning."""
+        if not len(of):
+            return of
+        out = np.concatenate((of[:1], of[:-1]))
+        out[np.concatenate(([True], self.end[:-1]))] = start
+        return out
 
 
 def token_hashes(words: list[bytes]) -> np.ndarray:
@@ -94,40 +95,53 @@ def token_hashes(words: list[bytes]) -> np.ndarray:
     return np.concatenate(out)
 
 
-@dataclass
 class Table:
-    """Counts by hash: hashes sorted, with a number each."""
-
-    hashes: np.ndarray
-    values: np.ndarray
-
-    @classmethod
-    def of(cls, hashes: np.ndarray, values: np.ndarray) -> Table:
-        order = np.argsort(hashes)
-        return cls(hashes[order], values[order])
+    """Places of hashes, found by probing one place after another. Place `start` stands for START and place `start`
+    + 1 for any hash that isn't there, so arrays of start + 2 entries say something about each."""
+
+    def __init__(self, hashes: np.ndarray):
+        size = 1 << max(4, (2 * len(hashes)).bit_length())
+        self.start, self.keys = size, np.zeros(size, np.uint64)  # zero is an empty place
+        self.n = len(hashes)
+        left, at = hashes, (hashes & np.uint64(size - 1)).astype(np.int64)
+        while len(left):
+            free = np.flatnonzero(self.keys[at] == 0)
+            place, one = np.unique(at[free], return_index=True)
+            self.keys[place] = left[free[one]]
+            rest = self.keys[at] != left
+            left, at = left[rest], (at[rest] + 1) & (size - 1)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), self.start + 1, np.int64)
+        left, at = np.arange(len(h)), (h & np.uint64(self.start - 1)).astype(np.int64)
+        while len(left):
+            held, mine = self.keys[at], h[left]
+            hit = held == mine
+            out[left[hit]] = at[hit]
+            go = np.flatnonzero(~hit & (held != 0))
+            left, at = left[go], (at[go] + 1) & (self.start - 1)
+        return out
 
-    def get(self, h: np.ndarray) -> np.ndarray:
-        """The number of each hash; -1 where it has none."""
-        if not len(self.hashes):
-            return np.full(len(h), -1, self.values.dtype)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.values[at], -1)
+    def about(self, hashes: np.ndarray, values: np.ndarray, other: float, start: float) -> np.ndarray:
+        """An array by place: a value for each of some hashes, for START, and for the others."""
+        out = np.full(self.start + 2, other, values.dtype)
+        out[self.find(hashes)] = values
+        out[self.start], out[self.start + 1] = start, other
+        return out
 
 
 #: Bits of a key under its group; the last marks a frequent second token.
 LOW = 28
 
 
-def keys_of(v: np.ndarray, w: np.ndarray, frequent: np.ndarray, hot: Table) -> np.ndarray:
+def keys_of(v: np.ndarray, w: np.ndarray, frequent: np.ndarray, parts: np.ndarray) -> np.ndarray:
     """A key per bigram: the context's group, then a hash of the second token and whether it is frequent. Bigrams of
-    a context share a group, or one of as many groups as `hot` has for it."""
-    parts = hot.get(v)
+    a context share a group, or one of as many groups as `parts` says."""
     with np.errstate(over="ignore"):
         own = mix(w * np.uint64(0x9E3779B97F4A7C15) + v)
         part = np.where(parts > 0, own % np.maximum(parts, 1).astype(np.uint64) + np.uint64(1), np.uint64(0))
-        group = group_of(v, part)
     low = (own >> np.uint64(64 - LOW)) & np.uint64((1 << LOW) - 2)
-    return (group << np.uint64(LOW)) | low | frequent
+    return (group_of(v, part) << np.uint64(LOW)) | low | frequent
 
 
 def group_of(v: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -232,18 +246,19 @@ class Shard:
     begin: np.ndarray
     bits: np.ndarray
     missed: np.ndarray  # what a bigram that was never learned counts for in expectation
-    data: np.ndarray
+    data: bytes
+    read: np.ndarray | None = None  # M(v) by place in the table, as far as a worker has read it
 
     def has(self, seg: np.ndarray) -> np.ndarray:
         return (seg >= self.first) & (seg < self.first + len(self.begin))
 
     def _members(self, x: np.ndarray, step: np.ndarray, seg: np.ndarray) -> np.ndarray:
         """The indexes of the entries that are there, given where their probes begin and how far they go."""
-        left = np.arange(len(x))
+        left, data = np.arange(len(x)), np.frombuffer(self.data, np.uint8)
         with np.errstate(over="ignore"):
             for _ in range(PROBES):
                 at = (x % self.bits[seg]).astype(np.int64)
-                hit = np.flatnonzero((self.data[self.begin[seg] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1)
+                hit = np.flatnonzero((data[self.begin[seg] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1)
                 left, seg, step = left[hit], seg[hit], step[hit]
                 if not len(left):
                     break
@@ -317,12 +332,14 @@ def _count_bigrams(shared, segments: int) -> Callable:
             yield pa.RecordBatch.from_arrays([pa.array(seg[cut[i : i + 512]], pa.int64()), hs, cs], names=["segment", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, hot = shared.value
+        table, parts = shared.value
         held, size = [], 0
         for b in batches:
             for _, texts in _slices(bytes_of(b.column(0))):
                 s = Stream(texts)
-                h, c = np.unique(keys_of(s.before(), s.hash, frequent.get(s.hash) >= 0, hot), return_counts=True)
+                place = table.find(s.hash)
+                key = keys_of(s.before(s.hash, START), s.hash, place < table.start, parts[s.before(place, table.start)])
+                h, c = np.unique(key, return_counts=True)
                 held.append((h, c))
                 size += len(h)
                 if size > 1_500_000:  # what one task holds doesn't grow with its input
@@ -390,38 +407,51 @@ class Model:
 
     total: int  # N, all training tokens
     distinct: int  # V
-    documents: int  # how often START comes
-    frequent: Table  # counts
-    hot: Table  # numbers of groups
-    hot_totals: Table  # M(v) of these contexts
-    hot_missed: float  # as a shard's
-    rare: float  # weight of bigrams whose second token isn't in `frequent`
+    table: Table  # of frequent tokens
+    counts: np.ndarray  # by place; of START, the number of texts
+    parts: np.ndarray  # by place: a spread context's number of groups
+    totals: np.ndarray  # by place: M(v) of spread contexts
+    spread_missed: float  # as a shard's
+    rare: float  # weight of bigrams whose second token isn't in the table
     scale: Scale  # of M(v) in the filter
 
     def unseen(self) -> float:
         """The weight of all tokens that a context's members may be taken from."""
-        return len(self.frequent.hashes) + self.rare * (self.distinct - len(self.frequent.hashes))
-
-
-def terms(v: np.ndarray, w: np.ndarray, known: np.ndarray, m: Model, f: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mine, x, b): which bigrams the shard decides, and p = x + b * p(w) of those. known: w is in the table."""
-    key = keys_of(v, w, known, m.hot)
-    mine = f.has(segment_of(key, f.segments))
-    key, back = np.unique(key[mine], return_inverse=True)
-    seg = segment_of(key, f.segments) - f.first
-    weight = np.where(key & np.uint64(1), 1.0, m.rare)
-    value = MASS[f.levels(key, seg)] * weight
-    contexts, at, first = np.unique(v[mine], return_index=True, return_inverse=True)
-    group = key[back[at]] >> np.uint64(LOW) << np.uint64(LOW)
-    own = f.totals(group, seg[back[at]], m.scale)
-    parts = m.hot.get(contexts)
-    total = np.where(parts > 0, np.maximum(m.hot_totals.get(contexts), 0), own)
-    missed = np.where(parts > 0, m.hot_missed, f.missed[seg[back[at]]]) * m.unseen()
-    times = np.where(contexts == START, m.documents, m.frequent.get(contexts))
-    keep = total / (np.maximum(times, total + DISCOUNT) + missed)
+        return self.table.n + self.rare * (self.distinct - self.table.n)
+
+
+def terms(v: np.ndarray, place: np.ndarray, w: np.ndarray, known: np.ndarray, m: Model, f: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mine, x, b): which bigrams the shard decides, and p = x + b * p(w) of those.
+
+    place: of v in the table; known: w is in the table. M(v) of the table's contexts is read once by a worker.
+    """
+    parts = m.parts[place]
+    key = keys_of(v, w, known, parts)
+    seg = segment_of(key, f.segments)
+    mine = f.has(seg)
+    if not mine.all():
+        v, place, parts, key, seg = (x[mine] for x in (v, place, parts, key, seg))
+    seg = seg - f.first
+    # keys in order, so that a segment is read as a whole before the next one
+    one, at, back = np.unique(key, return_index=True, return_inverse=True)
+    value = (MASS[f.levels(one, seg[at])] * np.where(one & np.uint64(1), 1.0, m.rare))[back]
+    if f.read is None:
+        f.read = np.where(m.parts > 0, m.totals, np.nan)
+    total = f.read[place]
+    group = key >> np.uint64(LOW) << np.uint64(LOW)
+    new = np.flatnonzero(np.isnan(total))
+    often, first = np.unique(place[new], return_index=True)
+    often, first = often[often <= m.table.start], new[first[often <= m.table.start]]
+    f.read[often] = f.totals(group[first], seg[first], m.scale)
+    total = f.read[place]
+    other = np.flatnonzero(place > m.table.start)
+    other = other[np.argsort(group[other])]
+    total[other] = f.totals(group[other], seg[other], m.scale)
+    missed = np.where(parts > 0, m.spread_missed, f.missed[seg]) * m.unseen()
+    keep = total / (np.maximum(m.counts[place], total + DISCOUNT) + missed)
     with np.errstate(invalid="ignore", divide="ignore"):
         scale = np.where(total > 0, keep / (total + missed), 0.0)
-    return mine, value[back] * scale[first], (1 - keep)[first]
+    return mine, value * scale, 1 - keep
 
 
 ROW = "key long, token binary, doc_id long, held_out boolean, rows int, n_tokens long, n_known long, logs double, score double, x float, b float"
@@ -440,18 +470,17 @@ def _score(shared, shard) -> Callable:
             for lo, texts in _slices(bytes_of(b.column(3))):
                 n = len(texts)
                 s = Stream(texts)
-                v, w = s.before(), s.hash
-                c = m.frequent.get(w)
-                mine, x, back = terms(v, w, c >= 0, m, f)
-                doc, c = s.doc[mine], c[mine]
-                known = c >= 0
+                place = m.table.find(s.hash)
+                mine, x, back = terms(s.before(s.hash, START), s.before(place, m.table.start), s.hash, place < m.table.start, m, f)
+                doc, place = s.doc[mine], place[mine]
+                known, c = place < m.table.start, m.counts[place]
                 p = x + back * ((c + 1) / (m.total + m.distinct + 1))
                 of = lambda y: np.bincount(doc[known], weights=y[known], minlength=n).astype(float)  # noqa: B023, E731
                 keys, ids, held = (b.column(i).slice(lo, n) for i in range(3))
                 key = keys.to_numpy()
                 own = pa.array([b" " + str(k).encode() for k in key.tolist()], pa.binary())
                 one = np.ones(len(c))
-                with np.errstate(divide="ignore"):
+                with np.errstate(divide="ignore", invalid="ignore"):
                     logs, score = of(np.log10(c + 1)), of(np.log10(p))
                 n_known = of(one).astype(np.int64)
                 tokens_of = np.bincount(doc, minlength=n)
@@ -486,11 +515,14 @@ def shards(filled: DataFrame, segments: int, most: int) -> Iterator[Shard]:
             size += sizes.get(hi, 1)
             hi += 1
         n = np.array([sizes.get(i, 1) for i in range(lo, hi)], np.int64)
-        shard = Shard(segments, lo, np.cumsum(n) - n, np.full(hi - lo, 8, np.uint64), np.zeros(hi - lo), np.zeros(int(n.sum()), np.uint8))
+        shard = Shard(segments, lo, np.cumsum(n) - n, np.full(hi - lo, 8, np.uint64), np.zeros(hi - lo), b"")
+        parts = [b"\0"] * (hi - lo)
         for r in filled.where(F.col("segment").between(lo, hi - 1)).select("segment", "bits", "error", "data").toLocalIterator():
             i = r["segment"] - lo
             shard.bits[i], shard.missed[i] = r["bits"], false_mass(r["error"])
-            shard.data[shard.begin[i] : shard.begin[i] + n[i]] = np.frombuffer(r["data"], np.uint8)
+            parts[i] = bytes(r["data"])
+        shard.data = b"".join(parts)
+        del parts
         yield shard
         lo = hi
 
@@ -507,16 +539,15 @@ def learn(texts: DataFrame, bits_per_entry: int = BITS_PER_ENTRY, segment_bytes:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     size, n_texts = texts.agg(F.coalesce(F.sum(F.length(texts.columns[0])), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.where(F.col("c") >= F.lit(max(1.0, total * FREQUENT_SHARE))).toArrow()
-    frequent = Table.of(token_hashes(top["token"].to_pylist()), top["c"].to_numpy())
+    hashes, often = token_hashes(top["token"].to_pylist()), top["c"].to_numpy()
+    table = Table(hashes)
     segments = max(1, round(size * 0.1 * bits_per_entry / 8 / segment_bytes))
     # a context of more than half a segment's share of all tokens gets several groups; START always does
     most = max(total * HOT_SHARE, total / (2 * segments), 1.0)
-    many = frequent.values > most
-    parts = np.minimum(1024, 2 ** np.ceil(np.log2(np.maximum(2, np.append(frequent.values[many], n_texts) / most)))).astype(np.int64)
-    hot = Table.of(np.append(frequent.hashes[many], START), parts)
-    n_rare = distinct - len(frequent.hashes)
-    rare = min(1.0, len(frequent.hashes) / n_rare) if n_rare else 1.0
-    shared = spark.sparkContext.broadcast((frequent, hot))
+    many = lambda n: np.where(n > most, np.minimum(1024, 2 ** np.ceil(np.log2(np.maximum(2, n / most)))), 0).astype(np.int64)
+    parts = table.about(hashes, many(often), 0, max(2, int(many(np.array(n_texts)))))
+    rare = min(1.0, table.n / (distinct - table.n)) if distinct > table.n else 1.0
+    shared = spark.sparkContext.broadcast((table, parts))
     blocks = texts.mapInArrow(_count_bigrams(shared, segments), "segment long, keys binary, counts binary")
     scale = Scale.to(rare * float(MASS[1]), 2 * most)
     kind = "segment long, bits long, error double, data binary, groups binary, totals binary"
@@ -525,9 +556,13 @@ def learn(texts: DataFrame, bits_per_entry: int = BITS_PER_ENTRY, segment_bytes:
     held: dict[int, float] = {}
     for r in filled.where(F.length("groups") > 0).select("groups", "totals").toLocalIterator():
         held.update(zip(np.frombuffer(r["groups"], "<u8").tolist(), np.frombuffer(r["totals"], "<f8").tolist(), strict=True))
-    sums = [sum(held.get(g, 0.0) for g in group_of(np.full(n, v, np.uint64), np.arange(1, n + 1)).tolist()) for v, n in zip(hot.hashes, hot.values.tolist(), strict=True)]
+    totals = np.zeros(len(parts))
+    for at in np.flatnonzero(parts).tolist():
+        n, v = int(parts[at]), START if at == table.start else table.keys[at]
+        totals[at] = sum(held.get(g, 0.0) for g in group_of(np.full(n, v, np.uint64), np.arange(1, n + 1)).tolist())
     error = filled.agg(F.avg("error")).first()[0] or 0.0
-    return Model(total, distinct, n_texts, frequent, hot, Table(hot.hashes, np.array(sums)), float(false_mass(error)), rare, scale), counts, filled, segments
+    counts_of = table.about(hashes, often, -1, n_texts)
+    return Model(total, distinct, table, counts_of, parts, totals, float(false_mass(error)), rare, scale), counts, filled, segments
 
 
 def score_documents(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", max_shard_bytes: int = 256 << 20, **filter_options) -> DataFrame:
