@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perigee.llm.shared import bytes_of, filter_rows
+from perigee.llm.shared import bytes_of, filter_rows, only_one
 
 #: Bytes of words as they are (A-Z lowered), every other byte a blank.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -43,19 +43,17 @@ def windows(text: bytes, k: int) -> list[bytes]:
     return [b" " + b" ".join(w[i : i + k]) + b" " for i in range(max(1, len(w) - k + 1))] if w else []
 
 
-_built: dict[str, ahocorasick.Automaton] = {}
-
-
 def _automaton(key: str, patterns: list[tuple[bytes, tuple[int, ...]]]) -> ahocorasick.Automaton:
     """Built once in a worker process; one shard is held at a time."""
-    if key not in _built:
-        _built.clear()
+
+    def build() -> ahocorasick.Automaton:
         a = ahocorasick.Automaton()
         for p, items in patterns:
             a.add_word(p.decode("latin-1"), (p.count(b" ") - 1, items))
         a.make_automaton()
-        _built[key] = a
-    return _built[key]
+        return a
+
+    return only_one(("automaton", key), build)
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

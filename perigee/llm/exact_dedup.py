@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perigee.llm.shared import held_out, mix, written
+from perigee.llm.shared import KeySet, held_out, mix, written
 
 BLANKS = r"[\x20\x09-\x0D]+"
 GAMMA = 2.0
@@ -195,12 +195,23 @@ def exact_dedup(docs: DataFrame, history: Column | None = None, id_col: str = "d
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns: one per distinct normalised text."""
+    """The rows of docs that stay, with all their columns: one per distinct normalised text.
+
+    Texts that occur once stay where they are. Of copies, only the rows that stay are shuffled, as bitmaps of bounded
+    size tell which rows may be among them; a list of those, by id and whole digest, decides."""
     names = [f"c{i}" for i in range(len(docs.columns))]
-    mine = docs.toDF(*names)
     i, t = (names[docs.columns.index(c)] for c in (id_col, text_col))
-    keys = mine.select("*", F.coalesce(F.col(i).cast("long"), F.lit(NO_ID)).alias("key_id"), normalised_digest(F.col(t)).alias("key_digest"))
-    keep = exact_groups(docs, id_col=id_col, text_col=text_col).where(F.col("id") == F.col("keep")).select("id", "digest")
-    kept = keys.join(keep, (keys["key_id"] == keep["id"]) & (keys["key_digest"] == keep["digest"]), "left_semi")
+    lead, pick = (lambda d: F.xxhash64(d).alias("lead")), (lambda i, d: F.xxhash64(i, d).alias("pick"))
+    first = written(exact_groups(docs, id_col=id_col, text_col=text_col).where(F.col("id") == F.col("keep")).select(lead("digest"), pick("id", "digest"), "id", "digest", "group_size"))
+    copied = first.where("group_size > 1").select("lead")
+    copies = KeySet(copied, copied.count())
+    # the first rows of groups, and texts that occur once but that the bitmap takes for copies
+    listed = written(copies.inside(first).select("pick", "id", "digest"))
+    stay = KeySet(listed, listed.count())
+    digest, key_id = normalised_digest(F.col(t)), F.coalesce(F.col(i).cast("long"), F.lit(NO_ID))
+    rows = docs.toDF(*names).select(lead(digest), "*")
+    chosen = stay.inside(copies.inside(rows).select(pick(key_id, digest), *names, key_id.alias("key_id"), digest.alias("key_digest")))
+    kept = chosen.join(listed.drop("pick"), (F.col("key_id") == F.col("id")) & (F.col("key_digest") == F.col("digest")), "left_semi")
     # rows equal in id and text: one of them; keyed as the join is, so no further exchange
-    return kept.dropDuplicates(["key_id", "key_digest"]).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    out = copies.inside(rows, but=True).select(*names).unionByName(kept.dropDuplicates(["key_id", "key_digest"]).select(*names))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

@@ -28,11 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perigee.llm.shared import LOWER, bytes_of, materialize
+from perigee.llm.shared import LOWER, bytes_of, materialize, only_one
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: White-space-free strings whose ids a worker keeps.
-CACHED = 500_000
+CACHED = 200_000
 LONGEST_CACHED = 40
 ALL_LETTERS = regex.compile(r"\p{L}+")
 
@@ -87,9 +87,6 @@ class WordIds(dict):
         return ids
 
 
-_loaded: dict[str, WordIds] = {}
-
-
 def encode_texts(path: str, texts: list[bytes]) -> list[bytes]:
     """The ids of each text as little-endian 32-bit numbers.
 
@@ -97,9 +94,7 @@ def encode_texts(path: str, texts: list[bytes]) -> list[bytes]:
     white-space-free strings, one after another. ASCII punctuation after an ASCII letter or digit begins a
     word of its own, and the tokenizer lowers case first, so those strings are looked up in parts.
     """
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    get = _loaded[path].__getitem__
+    get = only_one(("ids", path), lambda: WordIds(path)).__getitem__
     return [b"".join(map(get, (t if b"<|" in t else t.translate(LOWER)).split())) for t in texts]
 
 

@@ -192,3 +192,58 @@ def filter_rows(docs: DataFrame, text_col: str, keep) -> DataFrame:
                 yield b.filter(pa.array(np.asarray(keep(bytes_of(b.column(at))), dtype=bool)))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+#: Bits of a set of keys: eight for each, up to 2**29 (64 MB).
+MOST_BITS = 1 << 29
+
+
+class KeySet:
+    """A broadcast bitmap over hashed 64-bit keys, of bounded size. It may hold more keys than were put in, never
+    fewer, so rows that it leaves out need no shuffle. It only saves work."""
+
+    def __init__(self, keys: DataFrame, n: int):
+        bits = 1 << 15
+        while bits < min(8 * n, MOST_BITS):
+            bits *= 2
+        place = F.pmod(F.col(keys.columns[0]), F.lit(bits))
+        blocks = keys.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("block")).agg(F.bitmap_construct_agg(F.expr("p % 32768")).alias("bitmap"))
+        data = np.zeros(bits // 8, np.uint8)
+        for r in blocks.toLocalIterator():
+            data[r["block"] * 4096 : (r["block"] + 1) * 4096] = np.frombuffer(r["bitmap"], np.uint8)
+        self.bits, self.shared = bits, keys.sparkSession.sparkContext.broadcast(data)
+
+    def has(self, key: np.ndarray) -> np.ndarray:
+        at = key & (self.bits - 1)
+        return (self.shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+    def inside(self, rows: DataFrame, once: bool = False, but: bool = False) -> DataFrame:
+        """The rows (key first) inside the set (outside with `but`), without a shuffle; with `once`, one row of each
+        key and task."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                key = b.column(0).to_numpy()
+                keep = self.has(key) != but
+                if once:
+                    for i in np.flatnonzero(keep).tolist():
+                        keep[i] = key[i] not in seen
+                        seen.add(key[i])
+                yield b.filter(pa.array(keep))
+
+        return rows.mapInArrow(run, rows.schema)
+
+
+_held: list = [None, None]
+
+
+def only_one(owner: object, build=None):
+    """What a worker process holds for an owner, made when it is asked for. Nothing of other owners stays: workers
+    are used again by other operators, whose memory it would take."""
+    if _held[0] != owner:
+        _held[:] = [None, None]
+        _held[:] = [owner, build() if build else None]
+    return _held[1]

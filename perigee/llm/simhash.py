@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perigee.llm.components import connected_components
-from perigee.llm.shared import LOWER, bytes_of, materialize, mix
-from perigee.llm.similar_sets import similar_components
+from perigee.llm.shared import LOWER, KeySet, bytes_of, materialize, mix, only_one, written
+from perigee.llm.similar_sets import packed, similar_components, then
 
 NO_ID = (1 << 63) - 1
 #: Shingles whose bits are counted at once.
@@ -119,9 +119,13 @@ def flips_at(similarity: float) -> float:
 
 
 def _set_maker(k: int) -> Callable:
+    """(id, text_hash, text) to (id, text_hash, node, hashes): distinct shingle hashes, sorted, and a name made of
+    them; texts without words are left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_one("sets")
         for b in batches:
-            sets = [np.unique(shingle_hashes(t, k)).tobytes() for t in bytes_of(b.column(2))]
+            sets = [packed(shingle_hashes(t, k)) for t in bytes_of(b.column(2))]
             names = np.array([xxhash.xxh3_64_intdigest(s) for s in sets], "<u8").view("<i8")
             out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names), pa.array(sets, pa.binary())], names=["id", "text_hash", "node", "hashes"])
             yield out.filter(pa.array([len(s) > 0 for s in sets], pa.bool_()))
@@ -129,11 +133,6 @@ def _set_maker(k: int) -> Callable:
     return run
 
 
-def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, text_hash, node, hashes) of (id, text_hash, text) with words: distinct shingle hashes, sorted, and a name made of them."""
-    return texts.select("id", "text_hash", "text").mapInArrow(_set_maker(shingle), "id long, text_hash long, node long, hashes binary")
-
-
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns: the least id of each group of near copies.
 
@@ -146,11 +145,15 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     mine = docs.toDF(*names)
     text = docs[text_col].cast("binary")
     texts = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    make = lambda some: shingle_sets(some, shingle)
-    rows = materialize(make(texts).select("id", "text_hash", "node"))
+    make = _set_maker(shingle)
+    rows = written(texts.mapInArrow(then(make, lambda b: b.select([0, 1, 2])), "id long, text_hash long, node long"))
     roots = similar_components(rows, texts, make, similarity)
-    whole = rows.select("id", "text_hash", "node").join(roots, "node", "left").select("id", "text_hash", F.coalesce("root", "node").alias("root"))
+    whole = rows.join(roots, "node", "left").select("id", "text_hash", F.coalesce("root", "node").alias("root"))
     least = whole.groupBy("root").agg(F.min(F.struct("id", "text_hash")).alias("least"), F.max(F.struct("id", "text_hash")).alias("most")).where("least != most")
-    gone = whole.join(least, "root").where((F.struct("id", "text_hash") != F.col("least")) & (F.col("id") != NO_ID)).select("id", "text_hash").distinct()
-    same = (mine[i].cast("long") == gone["id"]) & (F.xxhash64(mine[t].cast("binary")) == gone["text_hash"])
-    return mine.join(gone, same, "left_anti").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    gone = written(whole.join(least, "root").where((F.struct("id", "text_hash") != F.col("least")) & (F.col("id") != NO_ID)).select("id", "text_hash").distinct())
+    # only texts that a bitmap of bounded size takes for dropped ones are shuffled
+    dropped = KeySet(gone.select("text_hash"), gone.count())
+    keyed = mine.select(F.xxhash64(F.col(t).cast("binary")).alias("key_hash"), "*")
+    same = (F.col(i).cast("long") == gone["id"]) & (F.col("key_hash") == gone["text_hash"])
+    out = dropped.inside(keyed, but=True).select(*names).unionByName(dropped.inside(keyed).join(gone, same, "left_anti").select(*names))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

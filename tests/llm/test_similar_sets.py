@@ -72,8 +72,9 @@ def test_large_groups_of_texts_under_the_bound_as_brute_force(spark):
     assert len(want) == 70
     assert kept(spark, rows) == want
     texts = spark.createDataFrame([(i, i, t.encode()) for i, t in rows], "id long, text_hash long, text binary")
-    make = lambda some: simhash.shingle_sets(some, 5)
-    roots = similar_sets.similar_components(make(texts).select("node", "text_hash").checkpoint(), texts, make, 0.8, window=1, block=8)
+    make = simhash._set_maker(5)
+    keys = texts.mapInArrow(similar_sets.then(make, lambda b: b.select([2, 1])), "node long, text_hash long").checkpoint()
+    roots = similar_sets.similar_components(keys, texts, make, 0.8, window=1, block=8)
     assert roots.count() == 20 and roots.select("root").distinct().count() == 10
 
 
