@@ -144,7 +144,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_chars: int = 6_000_000, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs in which no window occurs, with all their columns."""
     for shared in _shards(benchmark, window, max_chars, item_col, item_text):
-        docs = filter_rows(docs, text_col, _clean(shared))
+        docs = filter_rows(docs, text_col, _clean(shared), holds=True)
     return docs
 
 

@@ -209,8 +209,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     listed = written(copies.inside(first).select("pick", "id", "digest"))
     stay = KeySet(listed, listed.count())
     digest, key_id = normalised_digest(F.col(t)), F.coalesce(F.col(i).cast("long"), F.lit(NO_ID))
-    rows = docs.toDF(*names).select(lead(digest), "*")
-    chosen = stay.inside(copies.inside(rows).select(pick(key_id, digest), *names, key_id.alias("key_id"), digest.alias("key_digest")))
+    rows = docs.toDF(*names).select(lead(digest), pick(key_id, digest), "*")
+    chosen = copies.inside(rows, also=stay).select(*names, key_id.alias("key_id"), digest.alias("key_digest"))
     kept = chosen.join(listed.drop("pick"), (F.col("key_id") == F.col("id")) & (F.col("key_digest") == F.col("digest")), "left_semi")
     # rows equal in id and text: one of them; keyed as the join is, so no further exchange
     out = copies.inside(rows, but=True).select(*names).unionByName(kept.dropDuplicates(["key_id", "key_digest"]).select(*names))

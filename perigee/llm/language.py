@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perigee.llm.shared import bytes_of, filter_rows
+from perigee.llm.shared import bytes_of, filter_rows, only_one
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
@@ -182,6 +182,7 @@ def label_words(s: np.ndarray, doc: np.ndarray, n: int, penalty: float) -> np.nd
 
 def _labeller(shared, with_spans: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_one("nothing")
         m = shared.value
         for b in batches:
             for lo, texts in _slices(bytes_of(b.column(1))):
@@ -245,6 +246,7 @@ def predict_sure(texts: list[bytes], m: Model, with_spans: bool = False) -> tupl
 
 def _counter(langs: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_one("nothing")
         grams, scripts = np.zeros((len(langs), BUCKETS), np.int64), np.zeros((len(langs), len(NAMES)), np.int64)
         for b in batches:
             which = np.array([langs.index(x) for x in b.column(0).to_pylist()], np.int64)

@@ -45,7 +45,7 @@ from perigee.llm.shared import LOWER, WordBatch, bytes_of, mix, written
 END = b" "
 BASE = 1.5
 PROBES = 6
-BITS_PER_ENTRY = 14
+BITS_PER_ENTRY = 12
 DISCOUNT = 0.75
 #: Tokens of at least this share of all tokens are in the broadcast table: 2,000,000 at most.
 FREQUENT_SHARE = 5e-7
@@ -298,7 +298,7 @@ class Shard:
         return out
 
 
-def _slices(texts: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def _slices(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     lo = size = 0
     for i, t in enumerate(texts):
         if size and size + len(t) > most:
@@ -492,8 +492,8 @@ def _score(shared, shard) -> Callable:
                     continue
                 word = (np.cumsum(~s.end) - 1)[mine][rare]  # its place among the words; ends are the table's
                 start, end, raw = s.words.start, s.words.end, s.words.raw
-                for i in range(0, len(rare), 100_000):
-                    r, at = rare[i : i + 100_000], word[i : i + 100_000]
+                for i in range(0, len(rare), 30_000):
+                    r, at = rare[i : i + 30_000], word[i : i + 30_000]
                     names = [END if e else raw[j:k] for e, j, k in zip(s.end[mine][r].tolist(), start[at].tolist(), end[at].tolist(), strict=True)] if len(s.words.start) else [END] * len(r)
                     k, none = len(r), pa.nulls
                     yield pa.RecordBatch.from_arrays(

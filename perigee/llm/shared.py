@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -179,14 +182,16 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 <
             yield b.slice(lo), texts[lo:]
 
 
-def filter_rows(docs: DataFrame, text_col: str, keep) -> DataFrame:
+def filter_rows(docs: DataFrame, text_col: str, keep, holds: bool = False) -> DataFrame:
     """The rows of docs for which keep(texts as bytes, null as empty) says True, all columns as they are.
 
-    Rows stay in their partitions; nothing is shuffled.
+    Rows stay in their partitions; nothing is shuffled. holds: keep has something that the worker holds.
     """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not holds:
+            only_one("nothing")
         for b in batches:
             if b.num_rows:
                 yield b.filter(pa.array(np.asarray(keep(bytes_of(b.column(at))), dtype=bool)))
@@ -217,9 +222,9 @@ class KeySet:
         at = key & (self.bits - 1)
         return (self.shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
-    def inside(self, rows: DataFrame, once: bool = False, but: bool = False) -> DataFrame:
+    def inside(self, rows: DataFrame, once: bool = False, but: bool = False, also: KeySet | None = None) -> DataFrame:
         """The rows (key first) inside the set (outside with `but`), without a shuffle; with `once`, one row of each
-        key and task."""
+        key and task; with `also`, whose second column is in that set as well."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
@@ -228,6 +233,8 @@ class KeySet:
                     continue
                 key = b.column(0).to_numpy()
                 keep = self.has(key) != but
+                if also is not None:
+                    keep &= also.has(b.column(1).to_numpy())
                 if once:
                     for i in np.flatnonzero(keep).tolist():
                         keep[i] = key[i] not in seen
@@ -244,6 +251,10 @@ def only_one(owner: object, build=None):
     """What a worker process holds for an owner, made when it is asked for. Nothing of other owners stays: workers
     are used again by other operators, whose memory it would take."""
     if _held[0] != owner:
-        _held[:] = [None, None]
+        if _held[1] is not None:
+            _held[:] = [None, None]
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # give it back to the system where the C library can
+                ctypes.CDLL(None).malloc_trim(0)
         _held[:] = [owner, build() if build else None]
     return _held[1]
