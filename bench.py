@@ -10,7 +10,7 @@ import time
 from perigee.plans.queries import QUERIES
 from perigee.session import local_session, ship
 
-HEADLINE = ("tokens_per_doc", "idf_top_terms", "tfidf_norms", "career_score", "authorship_score", "selectivity_cutoffs", "feed_balanced", "feed_bundle", "scope_filter", "upsert", "due_scans", "nearest_peer")
+HEADLINE = ("tokens_per_doc", "idf_top_terms", "tfidf_norms", "career_score", "authorship_score", "selectivity_cutoffs", "feed_balanced", "feed_bundle", "scope_filter", "upsert", "due_scans", "nearest_peer", "crowding", "phrase_rarity", "novelty_score", "entity_resolution")
 
 
 def main() -> None:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
+from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -48,6 +50,12 @@ def marker_count(title: Column, abstract: Column) -> Column:
     return sum((F.contains(text, F.lit(m)).cast("int") for m in INCREMENTAL_MARKERS), F.lit(0))
 
 
+def found_markers(title: Column, abstract: Column) -> Column:
+    """The incremental markers that marker_count counts."""
+    text = head(title, abstract, 800)
+    return F.filter(F.array(*[F.when(F.contains(text, F.lit(m)), F.lit(m)) for m in INCREMENTAL_MARKERS]), lambda m: m.isNotNull())
+
+
 def consolidation(title: Column, abstract: Column) -> Column:
     """9 for each consolidation pattern in the title, else 4 in the head; 26 at most."""
     own, start = F.lower(F.coalesce(title, F.lit(""))), head(title, abstract, 400)
@@ -60,20 +68,35 @@ def search_text_ascii(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
 
 
-@F.pandas_udf(StringType())
-def _search_text_any(s: pd.Series) -> pd.Series:
-    t = s.fillna("").map(lambda x: unicodedata.normalize("NFKD", x).lower())
-    return t.str.replace("[\u0300-\u036f]", "", regex=True).str.replace("[^a-z0-9]+", " ", regex=True).str.strip(" ")
+MARKS = "[\u0300-\u036f]"
 
 
-def is_ascii(text: Column) -> Column:
-    return ~F.rlike(text, F.lit(r"[^\x00-\x7F]"))
+@cache
+def _folds() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """What NFKD makes of each character beyond ASCII, as far as letters and digits come of it: the characters that
+    become one, what they become, and those that become more, with that."""
+    single, to, more = [], [], []
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000))):
+        plain = re.sub("[^a-z0-9]+", " ", re.sub(MARKS, "", unicodedata.normalize("NFKD", c).lower()))
+        if plain.strip():
+            if len(plain) == 1:
+                single.append(c)
+                to.append(plain)
+            else:
+                more.append((c, plain))
+    return "".join(single), "".join(to), tuple(more)
 
 
 def search_text(text: Column) -> Column:
-    """NFKD, lower, no combining marks, other runs as one blank. A pandas UDF, as the JVM functions have no
-    normalization; search_text_ascii is the expression for ASCII columns."""
-    return _search_text_any(text)
+    """NFKD, lower, no combining marks, other runs as one blank; in the JVM. Characters that become several ones are
+    replaced one after another, in rows that have any."""
+    single, to, more = _folds()
+    t = F.coalesce(text, F.lit(""))
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(x).alias("x")) for c, x in more])
+    some = F.rlike(t, F.lit("[" + "".join(c for c, _ in more) + "]"))
+    wide = F.when(some, F.aggregate(pairs, t, lambda acc, p: F.replace(acc, p["c"], p["x"]))).otherwise(t)
+    folded = F.regexp_replace(F.translate(wide, single, to), MARKS, "")
+    return search_text_ascii(F.when(F.rlike(t, F.lit(r"[^\x00-\x7F]")), folded).otherwise(t))
 
 
 def title_key(text: Column) -> Column:
@@ -102,20 +125,27 @@ def arxiv_id(urls: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.get(found, F.lit(0)), r"(?i)\.pdf$", ""), r"(?i)v\d+$", "")
 
 
+def _let(value: Column, f) -> Column:
+    """f(value) with value evaluated once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def arxiv_month(value: Column) -> Column:
     """The month of first submission that a preprint id encodes, as its first day."""
-    raw = F.trim(F.coalesce(value, F.lit("")))
-    modern = F.regexp_extract(raw, r"^(\d{4})\.\d{4,5}", 1)
-    legacy = F.regexp_extract(raw, r"(?i)^[a-z-]+(?:\.[a-z-]{2})?/(\d{4})\d{3}", 1)
-    code = F.when(modern != "", modern).when(legacy != "", legacy)
-    yy, mm = F.substring(code, 1, 2).cast("int"), F.substring(code, 3, 2).cast("int")
-    return F.when(mm.between(1, 12), F.make_date(F.when(yy < 90, 2000 + yy).otherwise(1900 + yy), mm, F.lit(1)))
+    modern, legacy = r"^\s*(\d{4})\.\d{4,5}", r"(?i)^\s*[a-z-]+(?:\.[a-z-]{2})?/(\d{4})\d{3}"
+    code = F.regexp_extract(F.coalesce(value, F.lit("")), f"(?:{modern}|{legacy})", 0)
+
+    def month(digits: Column) -> Column:
+        yy, mm = F.substring(digits, 1, 2).cast("int"), F.substring(digits, 3, 2).cast("int")
+        return F.when(mm.between(1, 12), F.make_date(F.when(yy < 90, 2000 + yy).otherwise(1900 + yy), mm, F.lit(1)))
+
+    # the digits of either form: the first four of the last part that begins with four
+    return _let(F.regexp_extract(code, r"(?:^\s*|/)(\d{4})", 1), lambda d: F.when(d != "", month(d)))
 
 
 def first_release(published: Column, preprint_id: Column) -> Column:
     """The preprint's month if it lies before the publication's month, else the publication date."""
-    month = arxiv_month(preprint_id)
-    return F.when(month.isNull(), published).when(published.isNull(), month).when(month < F.trunc(published, "MM"), month).otherwise(published)
+    return _let(arxiv_month(preprint_id), lambda m: F.when(m.isNull(), published).when(published.isNull(), m).when(m < F.trunc(published, "MM"), m).otherwise(published))
 
 
 def safe_url(url: Column, fallback: Column) -> Column:
@@ -184,6 +214,21 @@ def clean_abstract(s: pd.Series) -> pd.Series:
     return s.map(lambda x: clean(x)[:ABSTRACT_CHARS])
 
 
+def rebuild(index: dict[str, list[int]] | None) -> str:
+    """abstract_from_index on one value."""
+    last = {}
+    for w, places in (index or {}).items():
+        last |= {p: w for p in places or () if p >= 0}
+    return " ".join(last[p] for p in sorted(last) if last[p] != "") if last and max(last) <= 100_000 else ""
+
+
+@F.pandas_udf(StringType())
+def clean_abstract_from_index(index_json: pd.Series) -> pd.Series:
+    """The cleaned text of an inverted index as JSON: rebuilt and cleaned in one step, as a Python function over the
+    lambdas of abstract_from_index can't always be planned."""
+    return index_json.map(lambda x: clean(rebuild(json.loads(x) if x else None))[:ABSTRACT_CHARS])
+
+
 @F.pandas_udf(StringType())
 def clean_title(s: pd.Series) -> pd.Series:
     return s.map(lambda x: clean(x) or "Untitled")
@@ -194,13 +239,63 @@ def clean_label(s: pd.Series) -> pd.Series:
     return s.map(lambda x: clean(x, repair=False))
 
 
+def display_clean(works: DataFrame) -> DataFrame:
+    """Stored rows as they are shown: title and abstract cleaned again, labels and names cleaned without repairs; a
+    column that isn't there is left out, null labels stay null."""
+    some = {"title": clean_title, "abstract": clean_abstract} | dict.fromkeys(("name", "field_name", "subfield_name", "topic_name", "domain_name", "source_name"), clean_label)
+    out = works
+    for name, f in some.items():
+        if name in works.columns:
+            done = f(F.col(name))
+            out = out.withColumn(name, done if name in ("title", "abstract") else F.when(F.col(name).isNotNull(), done))
+    return out
+
+
+def compact(n: Column) -> Column:
+    """A count in short: 950, 1.2K, 3.4M, 5B."""
+    n = F.coalesce(n.cast("double"), F.lit(0.0))
+    short = lambda x, unit: F.concat(F.regexp_replace(F.format_string("%.1f", x), r"\.0$", ""), F.lit(unit))
+    return F.when(n >= 999_950_000, short(n / 1e9, "B")).when(n >= 999_950, short(n / 1e6, "M")).when(n >= 1000, short(n / 1e3, "K")).otherwise(F.round(n).cast("long").cast("string"))
+
+
+def _percent(share: Column) -> Column:
+    return F.concat(round_half_up(F.coalesce(share, F.lit(0.0)) * 100).cast("string"), F.lit("%"))
+
+
+def author_line(names: Column) -> Column:
+    """The first four names, then how many more there are."""
+    names = F.coalesce(names, F.array().cast("array<string>"))
+    more = F.when(F.size(names) > 4, F.array(F.concat(F.lit("+"), (F.size(names) - 4).cast("string")))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(names) > 0, F.array_join(F.concat(F.slice(names, 1, 4), more), ", ")).otherwise(F.lit("Unknown authors"))
+
+
+def why_line(nearest_title: Column, nearest_sim: Column, top_name: Column, top_h: Column, markers: Column) -> Column:
+    """Why a work is shown: distance from its nearest peer, its strongest author, incremental wording."""
+    have = F.coalesce(nearest_title, F.lit("")) != ""
+    # The wording.
+    near = F.when(have, F.concat(_percent(F.lit(1.0) - nearest_sim), F.lit(" idea-distance from its nearest peer"))).otherwise(F.lit("No close peer found in the local reference set"))
+    author = F.when(top_name.isNotNull(), F.concat(top_name, F.lit(", h-index "), F.coalesce(top_h, F.lit(0)).cast("string")))
+    wording = F.when(F.size(F.coalesce(markers, F.array().cast("array<string>"))) > 0, F.concat(F.lit("incremental wording: "), F.array_join(markers, ", ")))
+    return F.concat_ws(" · ", near, author, wording)
+
+
+def evidence_lines(n_peers: Column, nearest_title: Column, nearest_sim: Column, confidence: Column, top_name: Column, cited: Column, works: Column, role: Column) -> Column:
+    """The evidence under a work, as an array of lines."""
+    have = F.coalesce(nearest_title, F.lit("")) != ""
+    # The wording.
+    peers = F.concat(F.lit("Compared with "), F.coalesce(n_peers, F.lit(0)).cast("string"), F.lit(" older, topic-adjacent papers."))
+    near = F.when(have, F.concat(F.lit("Nearest match ("), _percent(nearest_sim), F.lit(" similar): “"), nearest_title, F.lit("”"))).otherwise(F.lit("No nearest match was available; treat the novelty score as low-confidence."))
+    sure = F.concat(F.lit("Novelty confidence: "), _percent(confidence), F.lit("."))
+    author = F.when(top_name.isNotNull(), F.concat(F.lit("Top authorship signal: "), top_name, F.lit(" — "), compact(cited), F.lit(" citations, "), F.coalesce(works, F.lit(0)).cast("string"), F.lit(" works, "), role, F.lit(" author.")))
+    return F.array(peers, near, sure, F.coalesce(author, F.lit("No enriched author profile was available for this paper.")))
+
+
 def abstract_from_index(index: Column) -> Column:
     """The text of an inverted index (word to positions): per position the last word that claims it, gaps
     dropped; empty without positions or beyond 100,000."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e, i: F.transform(F.filter(F.coalesce(e["value"], F.array().cast("array<int>")), lambda p: p >= 0), lambda p: F.struct(p.alias("p"), i.alias("ord"), e["key"].alias("w")))))
-    ordered = F.array_sort(pairs)
-    last = F.filter(ordered, lambda x, i: F.coalesce(F.get(ordered, i + 1)["p"] != x["p"], F.lit(True)) & (x["w"] != ""))
-    text = F.array_join(F.transform(last, lambda x: x["w"]), " ")
+    last = lambda o: F.filter(o, lambda x, i: F.coalesce(F.get(o, i + 1)["p"] != x["p"], F.lit(True)) & (x["w"] != ""))
+    text = _let(F.sort_array(pairs), lambda o: F.array_join(F.transform(last(o), lambda x: x["w"]), " "))
     top = F.array_max(F.transform(pairs, lambda x: x["p"]))
     return F.when(index.isNull() | top.isNull() | (top > 100_000), F.lit("")).otherwise(text)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from perigee.functions.constants import ORGANISATIONS, PEOPLE, RESEARCHER_COLOUR
 from perigee.functions.scoring import career, clamp, role_weight
+from perigee.functions.text import search_text
 
 
 def careers(authors: DataFrame) -> DataFrame:
@@ -32,10 +33,9 @@ def authorship_scores(works: DataFrame, authorships: DataFrame, authors: DataFra
 
 def roster(authors: DataFrame, least_h: int = 50, least_cited: float = 10_000) -> DataFrame:
     """(author_id, name, rank-ordered) prominent authors outside the fixed list."""
-    from perigee.params import search_text
+    from perigee.params import search_text as plain
 
-    plain = F.trim(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", " "))
-    out = authors.where(F.col("author_id").isNotNull() & F.col("name").isNotNull() & ~plain.isin(*map(search_text, PEOPLE)))
+    out = authors.where(F.col("author_id").isNotNull() & F.col("name").isNotNull() & ~search_text(F.col("name")).isin(*map(plain, PEOPLE)))
     return out.where((F.col("h_index") >= least_h) & (F.col("cited_by") >= least_cited)).orderBy(F.desc("h_index"), F.desc("cited_by"), "name")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from perigee.functions.text import title_phrases
-from perigee.operators.similarity import crowdedness, dots, similarities
+from perigee.operators.similarity import crowdedness, similarities
 
 SAMPLE = 90
 LEAST = 4
@@ -25,15 +25,11 @@ def field_sample(cands: DataFrame, chosen: DataFrame, most: int = SAMPLE) -> tup
 
 def sample_statistics(peers: DataFrame, picked: DataFrame, vec: DataFrame, norm: DataFrame, distinct: DataFrame) -> DataFrame:
     """(group_key, id, crowding, distinctiveness) of the sampled peers, each against the rest of its list."""
-    right = peers.join(vec, "id").select(F.col("id").alias("b"), "group_key", "term", "w")
     keyed = F.concat_ws("/", "group_key", "id")
-    left = picked.join(vec, "id").select(keyed.alias("a"), F.col("id").alias("own"), "group_key", "term", "w")
-    d = dots(left.drop("own"), right)
     mine = picked.select(keyed.alias("cand_id"), F.col("id").alias("own"), "group_key", "n_list")
-    others = mine.join(peers.select("group_key", F.col("id").alias("ref_id"), "ord"), "group_key").where("ref_id <> own").select("cand_id", "ref_id", "ord")
-    own_norm = mine.join(norm, mine["own"] == norm["id"]).select(F.col("cand_id").alias("id"), "norm")
-    both = norm.select(F.col("id").cast("string").alias("id"), "norm").unionByName(own_norm)
-    sims = similarities(others.withColumn("ref_id", F.col("ref_id").cast("string")), d.withColumn("b", F.col("b").cast("string")), both)
+    others = mine.join(peers.select("group_key", F.col("id").alias("ref_id"), "ord"), "group_key").where("ref_id <> own").select("cand_id", "ref_id", "group_key", "ord")
+    left = mine.select(F.col("cand_id").alias("id"), "own").join(vec.withColumnRenamed("id", "own"), "own").select("id", "term", "w")
+    sims = similarities(others, left, vec)
     counts = mine.select("cand_id", (F.col("n_list") - 1).alias("n_peers"))
     crowd = crowdedness(counts, sims).select("cand_id", "crowding")
     return mine.join(crowd, "cand_id").join(distinct.select(F.col("id").alias("own"), "distinctiveness"), "own").select("group_key", F.col("own").alias("id"), "crowding", "distinctiveness")

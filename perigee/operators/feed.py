@@ -13,6 +13,17 @@ from perigee.params import WINDOWS, windows_within
 SORT_KEYS = {"balanced": "discovery", "novelty": "novelty", "researcher": "authorship", "newest": "first_release"}
 
 
+def horizon(depth: Column, indexed: Column) -> Column:
+    """How far back a feed may look, in days: the depth (30 if there is none), no further than what is indexed."""
+    top = F.when(depth > 0, depth).otherwise(F.lit(30))
+    return F.greatest(F.lit(1), F.least(top, F.when(indexed > 0, indexed).otherwise(top)))
+
+
+def windows_offered(depth: Column) -> Column:
+    """How many windows lie within a depth."""
+    return F.size(F.filter(F.array(*[F.lit(n) for n in WINDOWS.values()]), lambda n: n <= F.greatest(F.lit(1), depth)))
+
+
 def within(rows: DataFrame, as_of: date, days: int) -> DataFrame:
     return rows.where(F.col("first_release") >= F.date_sub(F.lit(as_of), days))
 
@@ -30,6 +41,12 @@ def page(rows: DataFrame, sort: str, offset: int = 0, limit: int = 120, matched:
     return (ordered.offset(offset) if offset > 0 else ordered).limit(limit)
 
 
+def page_report(rows: DataFrame, offset: int = 0, limit: int = 120) -> DataFrame:
+    """(total, has_more) of the rows that a page is cut from."""
+    end = max(0, offset) + min(250, max(1, limit))
+    return rows.agg(F.count(F.lit(1)).alias("total")).select("total", (F.col("total") > end).alias("has_more"))
+
+
 def feed(rows: DataFrame, as_of: date, window: str, sort: str, select_n: float, select_a: float, horizon: float = 90, offset: int = 0, limit: int = 120, matched: Column | None = None) -> DataFrame:
     """Rows (id, first_release, novelty, authorship, discovery, override) of a window that pass the gates
     of that window, in order, one page."""

@@ -2,28 +2,106 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from perigee.functions.scoring import cosine, crowding
+from perigee.functions.scoring import crowding
 
+#: Candidates of a group that meet in one task, and cells of a dense slice of their vectors.
+BLOCK, CELLS = 128, 4_000_000
 
-def dots(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b, dot) of vectors that share a term and a group: (a, group_key, term, w) x (b, group_key, term, w).
 
-    An equi-join on group and term; products are summed per pair before the shuffle. `right` has a bounded
-    number of rows per group and term (see peers.eligible), so a frequent term costs its own share, and the
-    skew join splits it.
-    """
-    r = right.select("b", "group_key", "term", F.col("w").alias("v"))
-    return left.join(r, ["group_key", "term"]).groupBy("a", "b").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+def packed(vec: DataFrame) -> DataFrame:
+    """(id, terms, weights): one row per vector of (id, term, w), its terms as sorted 64-bit hashes. A vector has as
+    many terms as a text has scoring tokens at most."""
+    own = vec.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w"))).alias("v"))
+    return own.select("id", F.col("v.t").alias("terms"), F.col("v.w").alias("weights"))
+
+
+def _flat(col: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column, and the row of each."""
+    lists = col.combine_chunks()
+    size = np.asarray(lists.value_lengths())
+    return np.asarray(lists.flatten()).astype(kind), np.repeat(np.arange(len(size)), size)
+
+
+def _multiply(left: pa.Table, right: pa.Table) -> np.ndarray:
+    """Dot products of all vectors on the left with all on the right, over slices of their common terms."""
+    (t, i), (u, j) = _flat(left["terms"], np.int64), _flat(right["terms"], np.int64)
+    w, v = _flat(left["weights"], np.float64)[0], _flat(right["weights"], np.float64)[0]
+    common = np.intersect1d(t, u)
+    out = np.zeros((left.num_rows, right.num_rows))
+    if not len(common):
+        return out
+
+    def columns(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(common, terms), len(common) - 1)
+        have = np.flatnonzero(common[at] == terms)
+        order = have[np.argsort(at[have], kind="stable")]
+        return order, at[order]
+
+    (lo, lc), (ro, rc) = columns(t), columns(u)
+    wide = max(64, CELLS // (left.num_rows + right.num_rows))
+    for first in range(0, len(common), wide):
+        n = min(wide, len(common) - first)
+        sides = []
+        for order, col, row, x, rows in ((lo, lc, i, w, left.num_rows), (ro, rc, j, v, right.num_rows)):
+            a, b = np.searchsorted(col, [first, first + n])
+            m = np.zeros((rows, n))
+            m[row[order[a:b]], col[a:b] - first] = x[order[a:b]]
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
 
 
-def similarities(chosen: DataFrame, dot: DataFrame, norm: DataFrame) -> DataFrame:
-    """(cand_id, ref_id, ord, sim) of the chosen pairs that share a term; the others have similarity 0."""
-    d = dot.select(F.col("a").alias("cand_id"), F.col("b").alias("ref_id"), "dot")
-    na, nb = (norm.select(F.col("id").alias(i), F.col("norm").alias(n)) for i, n in (("cand_id", "na"), ("ref_id", "nb")))
-    return d.join(chosen, ["cand_id", "ref_id"]).join(na, "cand_id").join(nb, "ref_id").select("cand_id", "ref_id", "ord", cosine(F.col("dot"), F.col("na"), F.col("nb")).alias("sim"))
+def _norms(side: pa.Table) -> np.ndarray:
+    w, row = _flat(side["weights"], np.float64)
+    return np.sqrt(np.bincount(row, weights=w * w, minlength=side.num_rows))
+
+
+def _block(names: tuple[str, ...], kinds: list):
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        cand = ref = order = np.zeros(0, np.int64)
+        sim = np.zeros(0)
+        if left.num_rows and right.num_rows:
+            dot = _multiply(left, right) / np.maximum(np.outer(_norms(left), _norms(right)), 1e-300)
+            place = {x: k for k, x in enumerate(right["ref_id"].to_pylist())}
+            pairs = [(i, place[p["ref_id"]], p["ord"]) for i, refs in enumerate(left["refs"].to_pylist()) for p in refs if p["ref_id"] in place]
+            cand, ref, order = np.array(pairs, np.int64).reshape(-1, 3).T
+            sim = np.clip(dot[cand, ref], 0.0, 1.0)
+            some = np.flatnonzero(sim > 0)
+            cand, ref, order, sim = cand[some], ref[some], order[some], sim[some]
+        cols = [left["cand_id"].take(pa.array(cand)), right["ref_id"].take(pa.array(ref)), pa.array(order), pa.array(sim)]
+        return pa.table({n: c.cast(k) for n, c, k in zip(names, cols, kinds, strict=True)})
+
+    return run
+
+
+def similarities(chosen: DataFrame, vec: DataFrame, peers: DataFrame | None = None) -> DataFrame:
+    """(cand_id, ref_id, ord, sim) of the chosen pairs (cand_id, ref_id, group_key, ord) that share a term; the others
+    have similarity 0. vec is (id, term, w) of both sides; `peers` of the right side where it differs.
+
+    Vectors are shuffled, not products: a block of candidates of a group meets the peers that they have between them
+    (which groups bound to little more than a candidate's own number), and a sparse product over their common terms
+    gives all similarities of the block. Groups of any size are spread over as many blocks as they need.
+    """
+    mine = packed(vec)
+    theirs = mine if peers is None else packed(peers)
+    lists = chosen.groupBy("group_key", "cand_id").agg(F.collect_list(F.struct("ref_id", "ord")).alias("refs"))
+    sizes = lists.groupBy("group_key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_blocks"))
+    placed = lists.join(sizes, "group_key").withColumn("block", F.pmod(F.xxhash64("cand_id"), F.col("n_blocks"))).drop("n_blocks")
+    left = placed.join(mine.withColumnRenamed("id", "cand_id"), "cand_id")
+    wanted = placed.select("group_key", "block", F.explode("refs.ref_id").alias("ref_id")).distinct()
+    right = wanted.join(theirs.withColumnRenamed("id", "ref_id"), "ref_id")
+    right = right.toDF(*right.columns)  # columns of its own, as both sides come from one frame
+    types = dict(chosen.dtypes)
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    kinds = [arrow[types["cand_id"]], arrow[types["ref_id"]], pa.int32(), pa.float64()]
+    run = _block(("cand_id", "ref_id", "ord", "sim"), kinds)
+    by = ["group_key", "block"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, f"cand_id {types['cand_id']}, ref_id {types['ref_id']}, ord int, sim double")
 
 
 def crowdedness(counts: DataFrame, sims: DataFrame) -> DataFrame:

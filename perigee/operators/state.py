@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from datetime import date
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,20 +56,19 @@ def due(scans: DataFrame, hours: int, key: str = "user_id", ts: str = "ts") -> D
 
 
 def rate_limited(events: DataFrame, hours: int = 6, key: str = "user_id", ts: str = "ts") -> DataFrame:
-    """Events let through when at most one per `hours` is: each is measured against the last one let through,
-    which no window function can say, so a key's rows go through Python once, sorted, in batches."""
-    schema = events.select(key, "event_id", ts).schema
+    """Events let through when at most one per `hours` is: each is measured against the last one let through.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, "event_id"])
-        keep, last = [], None
-        for t in pdf[ts]:
-            ok = last is None or t - last >= pd.Timedelta(hours=hours)
-            keep.append(ok)
-            last = t if ok else last
-        return pdf[keep]
-
-    return events.select(key, "event_id", ts).groupBy(key).applyInPandas(run, schema)
+    A fold over a key's sorted events, in the JVM.
+    """
+    span = hours * 3_600_000_000
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = events.select(key, "event_id", ts, at.alias("at"))
+    per = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "event_id", ts))).alias("list"))
+    kind = per.schema["list"].dataType.simpleString()
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast(kind).alias("kept"))
+    take = lambda acc, x: F.struct(x["at"].alias("last"), F.array_append(acc["kept"], x).alias("kept"))
+    passed = F.aggregate("list", start, lambda acc, x: F.when(acc["last"].isNull() | (x["at"] - acc["last"] >= span), take(acc, x)).otherwise(acc), lambda acc: acc["kept"])
+    return per.select(key, F.explode(passed).alias("e")).select(key, "e.event_id", f"e.{ts}")
 
 
 def inbox(new: DataFrame, old: DataFrame, cap: int = 250) -> DataFrame:
@@ -96,3 +94,23 @@ def coverage(lanes: DataFrame, records: DataFrame) -> DataFrame:
     got = records.agg(F.count_distinct("id").alias("records"))
     percent = F.when(F.col("available") > 0, F.least(F.lit(100.0), F.lit(100.0) * F.col("records") / F.col("available"))).otherwise(F.lit(100.0))
     return total.crossJoin(got).select("available", "records", percent.alias("percent"))
+
+
+def to_rescore(new: DataFrame, stored: DataFrame, version: int, signature: str) -> DataFrame:
+    """The population of a scoring pass: new rows, then the stored ones whose score is of another version or other
+    settings (score_version, signature) or isn't there; each id once."""
+    stale = ~(F.coalesce(F.col("score_version"), F.lit(-1)) == version) | ~(F.coalesce("signature", F.lit("")) == signature)
+    old = stored.where(stale).join(new.select("id"), "id", "left_anti")
+    return new.withColumn("is_new", F.lit(True)).unionByName(old.withColumn("is_new", F.lit(False)), allowMissingColumns=True)
+
+
+def valid_baseline(meta: DataFrame, version: int, signature: str) -> DataFrame:
+    """One row: whether the stored baseline (version, signature) may be used; it is built again otherwise."""
+    ok = F.count_if((F.col("version") == version) & (F.col("signature") == signature)) > 0
+    return meta.agg(ok.alias("usable"))
+
+
+def search_history(old: DataFrame, entry: DataFrame, cap: int = 12) -> DataFrame:
+    """(signature, at, params) with the new entry first; an entry of the same signature is replaced."""
+    kept = old.join(entry.select("signature"), "signature", "left_anti")
+    return entry.unionByName(kept).orderBy(F.desc("at"), "signature").limit(cap)

@@ -44,9 +44,7 @@ def parts(works: DataFrame, least_peers: int = 20, most_peers: int = 320, keep:
     chosen = materialize(chosen) if keep else chosen
     norm = vectors.norms(vec)
     norm = materialize(norm) if keep else norm
-    left = c.select("id", "group_key").join(vec, "id").select(F.col("id").alias("a"), "group_key", "term", "w")
-    right = able.select("id", "group_key").join(vec, "id").select(F.col("id").alias("b"), "group_key", "term", "w")
-    sims = similarity.similarities(chosen, similarity.dots(left, right), norm)
+    sims = similarity.similarities(chosen, vec)
     counts = peers.peer_counts(c, chosen)
     crowd = similarity.crowdedness(counts, sims)
     return Parts(works, c, groups, idf, vec, norm, chosen, counts, sims, materialize(crowd) if keep else crowd)

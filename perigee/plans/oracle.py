@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from perigee.functions.constants import CATEGORY_EVIDENCE, CONSOLIDATION, GLOSSARY, INCREMENTAL_MARKERS, ORGANISATIONS, PEOPLE, QUERY_STOP_WORDS, STOPWORDS
 from perigee.operators.filters import initials_pattern
-from perigee.params import ANCHORS, search_text, top_fraction
+from perigee.params import search_text, top_fraction
 
 STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
@@ -14,6 +14,11 @@ def toks(expr: str, most: int) -> str:
 
 
 def norm(expr: str) -> str:
+    """Search text: accents stripped."""
+    return plain(f"strip_accents({expr})")
+
+
+def plain(expr: str) -> str:
     return f"trim(regexp_replace(lower({expr}), '[^a-z0-9]+', ' ', 'g'))"
 
 
@@ -272,7 +277,7 @@ add("first_release", "SELECT id AS doc_id, strftime(first_release, '%Y-%m-%d') A
 add("doi_norm", "SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN '' ELSE CASE doc_id % 4 WHEN 2 THEN '10.1/' ELSE '10.1/x' END || doc_id END AS value FROM documents")
 add("short_id", "SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN CAST(doc_id % 40 AS VARCHAR) ELSE 'W' || doc_id END AS value, CASE doc_id % 3 WHEN 2 THEN CAST(doc_id % 40 AS VARCHAR) ELSE CAST(doc_id AS VARCHAR) END AS taxonomy FROM documents")
 add("arxiv_id_extract", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '2101.' || lpad(CAST(doc_id AS VARCHAR), 5, '0') WHEN 1 THEN 'hep-th/' || doc_id END AS value FROM documents")
-add("abstract_from_index", "SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '[ \\t\\n\\v\\f\\r]+')[1:40], lambda x: x <> ''), ' ') AS text FROM documents WHERE len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\v\\f\\r]+')[1:40], lambda x: x <> '')) > 0")
+add("abstract_from_index", "SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> ''), ' ') AS text FROM documents WHERE len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')) > 0")
 CLEAN = "regexp_replace(html, '[^\\x00-\\x7F]', '', 'g')"
 for _ in range(2):
     for name, char in (("apos", "''"), ("gt", ">"), ("lt", "<"), ("nbsp", " "), ("quot", '"'), ("amp", "&")):
@@ -302,7 +307,9 @@ add("novelty_score", "SELECT cand_id, round(raw, 4) AS raw, round(confidence, 6)
 add("career_score", "SELECT author_id, round(career, 6) AS career FROM careers")
 add("authorship_score", "SELECT id AS doc_id, round(score, 6) AS score, round(confidence, 6) AS confidence, CAST(least(5, n) AS BIGINT) AS n_evidence FROM authored")
 ROSTER = "SELECT author_id, name, h_index, cited_by FROM authors WHERE h_index >= 6 AND cited_by >= 1200"
-add("author_roster", f"SELECT author_id, name, CAST(h_index AS BIGINT) AS h_index, CAST(cited_by AS DOUBLE) AS cited_by FROM ({ROSTER})")
+SEEDED = ", ".join(f"'{search_text(x)}'" for x in PEOPLE)
+NAMED = "CASE CAST(substr(author_id, 2) AS BIGINT) % 7 WHEN 0 THEN 'Jürgen SCHMIDHUBER' WHEN 1 THEN ' yann  le-cun' WHEN 2 THEN 'YANN LÉCUN' ELSE name END"
+add("author_roster", f"SELECT author_id, name, CAST(h_index AS BIGINT) AS h_index, CAST(cited_by AS DOUBLE) AS cited_by FROM (SELECT author_id, {NAMED} AS name, h_index, cited_by FROM ({ROSTER})) WHERE {norm('name')} NOT IN ({SEEDED})")
 ORG = ", ".join("CASE WHEN " + " OR ".join(f"contains(p, ' {a} ')" for a in al) + f" THEN '{label}' END" for label, al, _ in ORGANISATIONS)
 PPL = ", ".join(f"CASE WHEN list_contains(names, '{search_text(p)}') THEN '{p}' END" for p in PEOPLE)
 add("prominence_override", f"""
@@ -378,11 +385,69 @@ INBOX = f"""SELECT work_id, unread, age, place FROM (
 ) ORDER BY age, place, work_id LIMIT 250"""
 add("inbox", f"SELECT work_id, CASE WHEN work_id IN (22, 33) THEN false ELSE unread END AS unread FROM ({INBOX})")
 add("unread_badge", f"SELECT count(*) FILTER (unread) AS unread, CASE WHEN count(*) FILTER (unread) > 99 THEN '99+' WHEN count(*) FILTER (unread) > 0 THEN CAST(count(*) FILTER (unread) AS VARCHAR) ELSE '' END AS badge FROM ({INBOX})")
-add("window_horizon", "SELECT * FROM (VALUES " + ", ".join(f"(CAST({v} AS BIGINT), {float(f)}::DOUBLE)" for v, f in ANCHORS) + ") t(value, top_fraction)")
+add("window_horizon", """
+SELECT c_custkey, CAST(greatest(1, least(depth, CASE WHEN indexed > 0 THEN indexed ELSE depth END)) AS BIGINT) AS horizon,
+       CAST(len(list_filter([1, 3, 7, 14, 30, 90], lambda n: n <= depth)) AS BIGINT) AS n_windows
+FROM (SELECT c_custkey, 1 + c_custkey % 90 AS depth, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 120 END AS indexed FROM customer)""")
+CTES["real"] = """
+  SELECT s.cand_id AS id, r.first_release, round(s.novelty, 6) AS novelty, round(a.score, 6) AS authorship,
+         round(least(100, greatest(0, 0.72::DOUBLE * greatest(s.novelty, a.score) + 0.28::DOUBLE * least(s.novelty, a.score))), 6) AS discovery,
+         s.cand_id IN (SELECT x.id FROM authorships x WHERE x.author_id IN (SELECT author_id FROM authors WHERE h_index >= 8 AND cited_by >= 1500)) AS override
+  FROM scored s JOIN authored a ON a.id = s.cand_id JOIN released r ON r.id = s.cand_id"""
+CTES["real90"] = "SELECT * FROM real WHERE first_release >= DATE '2024-03-31' - 90"
+CTES["real_gate"] = gate_sql("real90", 30, 30)
+add("feed_scored", "SELECT id AS doc_id, strftime(first_release, '%Y-%m-%d') AS first_release, novelty, authorship, discovery, override FROM real_gate ORDER BY discovery DESC, id LIMIT 100")
+add("feed_scored_report", "SELECT count(*) AS total, count(*) > 60 AS has_more FROM real_gate")
+add("inbox_scored", """
+SELECT work_id, unread FROM (
+  SELECT work_id, unread FROM (
+    SELECT id AS work_id, true AS unread, 0 AS age, -discovery AS place FROM real_gate WHERE id % 11 <> 0
+    UNION ALL SELECT id, id % 2 = 0, 1, CAST(id AS DOUBLE) FROM works WHERE id % 11 = 0
+  ) ORDER BY age, place, work_id LIMIT 250)""")
+PCT = "CAST(CAST(floor(coalesce({0}, 0) * 100 + 0.5::DOUBLE) AS BIGINT) AS VARCHAR) || '%'"
+SHORT = "CASE WHEN c >= 999950 THEN regexp_replace(printf('%.1f', floor(c / 100000.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE), '\\.0$', '') || 'M' WHEN c >= 1000 THEN regexp_replace(printf('%.1f', floor(c / 100.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE), '\\.0$', '') || 'K' ELSE CAST(c AS VARCHAR) END"
+FOUND = ", ".join(f"CASE WHEN contains(lower(t || ' '), '{x}') THEN '{x}' END" for x in INCREMENTAL_MARKERS)
+add("evidence_lines", f"""
+SELECT id AS doc_id,
+       CASE WHEN id % 7 = 0 THEN 'Unknown authors' ELSE array_to_string(list_concat(names[1:4], CASE WHEN id % 7 > 4 THEN ['+' || (id % 7 - 4)] ELSE [] END), ', ') END AS author_line,
+       CASE WHEN near IS NULL OR near = '' THEN 'No close peer found in the local reference set' ELSE {PCT.format('(1.0::DOUBLE - sim)')} || ' idea-distance from its nearest peer' END
+         || CASE WHEN top IS NULL THEN '' ELSE ' · ' || top || ', h-index ' || (id % 80) END
+         || CASE WHEN len(found) = 0 THEN '' ELSE ' · incremental wording: ' || array_to_string(found, ', ') END AS why_line,
+       'Compared with ' || (id % 321) || ' older, topic-adjacent papers.|'
+         || CASE WHEN near IS NULL OR near = '' THEN 'No nearest match was available; treat the novelty score as low-confidence.' ELSE 'Nearest match (' || {PCT.format('sim')} || ' similar): “' || near || '”' END
+         || '|Novelty confidence: ' || {PCT.format('(CAST(id % 101 AS DOUBLE) / 101.0::DOUBLE)')} || '.|'
+         || CASE WHEN top IS NULL THEN 'No enriched author profile was available for this paper.' ELSE 'Top authorship signal: ' || top || ' — ' || {SHORT} || ' citations, ' || (id % 300) || ' works, ' || CASE id % 2 WHEN 0 THEN 'first' ELSE 'last' END || ' author.' END AS evidence
+FROM (SELECT id, (['A. One', 'B. Two', 'C. Three', 'D. Four', 'E. Five', 'F. Six'])[1:id % 7] AS names, CASE WHEN id % 5 <> 0 THEN title END AS near, CAST(id % 997 AS DOUBLE) / 1000.0::DOUBLE AS sim,
+             CASE WHEN id % 3 <> 0 THEN 'N' || (id % 9) END AS top, id * id * 37 % 5000000 AS c, list_filter([{FOUND}], lambda x: x IS NOT NULL) AS found
+      FROM (SELECT id, title, title || CASE id % 4 WHEN 0 THEN ' improved benchmarking' ELSE '' END AS t FROM works))""")
+add("progress_text", """
+SELECT event_id, CASE WHEN event_id % 10 = 0 THEN '' ELSE
+  CASE WHEN event_id % 4 = 0 THEN 'starting' ELSE event_type END || CASE WHEN event_id % 3 = 0 THEN ' · lane ' || (user_id % 4) ELSE '' END
+  || CASE WHEN event_id % 2 = 0 AND event_id > 0 THEN ' · ' || format('{:,}', f) || ' of ' || format('{:,}', event_id * 9) WHEN f <> 0 THEN ' · ' || format('{:,}', f) || ' so far' ELSE '' END END AS text
+FROM (SELECT *, CASE WHEN event_id % 6 <> 5 THEN event_id * 7 ELSE 0 END AS f FROM events)""")
+ORACLE["progress_states"] = """
+WITH RECURSIVE e AS (SELECT user_id, event_id, ts, CASE event_id % 5 WHEN 0 THEN 'ready' ELSE 'running' END AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (
+  SELECT user_id, n, ts, status, 1 AS written FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.user_id, e.n, CASE WHEN e.ts - r.ts < INTERVAL 750 MILLISECONDS AND e.status = r.status THEN r.ts ELSE e.ts END,
+         CASE WHEN e.ts - r.ts < INTERVAL 750 MILLISECONDS AND e.status = r.status THEN r.status ELSE e.status END,
+         r.written + CASE WHEN e.ts - r.ts < INTERVAL 750 MILLISECONDS AND e.status = r.status THEN 0 ELSE 1 END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1
+), last AS (SELECT user_id, arg_max(status, n) AS status, max(ts) AS ts FROM e GROUP BY 1)
+SELECT l.user_id, CAST(w.written AS BIGINT) AS written, l.status, l.status = 'running' AND TIMESTAMP '2030-01-01' - l.ts > INTERVAL 120 SECONDS AS stalled, 'ready' AS recovered
+FROM last l JOIN (SELECT user_id, max(written) AS written FROM r GROUP BY 1) w USING (user_id)"""
+add("rescore_population", """
+SELECT id AS doc_id, id % 4 = 0 AS is_new FROM works WHERE NOT is_baseline AND (id % 4 = 0 OR id % 5 IN (0, 1) OR id % 3 <> 1)""")
+add("code_mapping", """
+SELECT l.group_id, l.code, coalesce(array_to_string(CASE WHEN o.code IS NOT NULL THEN o.fields ELSE g.fields END, ','), '') AS field_ids, coalesce(array_to_string(o.subfields, ','), '') AS subfield_ids
+FROM (SELECT 'g' || (p_partkey % 6) AS group_id, 'c' || p_partkey AS code FROM part) l
+LEFT JOIN (SELECT 'c' || (s_suppkey * 2) AS code, CASE WHEN s_suppkey % 3 = 0 THEN [CAST(s_suppkey % 40 AS VARCHAR)] ELSE [] END AS fields, CASE WHEN s_suppkey % 3 <> 0 THEN [CAST(1000 + s_suppkey AS VARCHAR)] ELSE [] END AS subfields FROM supplier) o USING (code)
+LEFT JOIN (SELECT 'g' || r_regionkey AS group_id, [CAST(10 + r_regionkey AS VARCHAR)] AS fields FROM region) g ON g.group_id = l.group_id""")
 add("cursor_scan", "SELECT id, min(event_id) AS seq FROM (SELECT event_id % 700 AS id, event_id FROM events) GROUP BY 1 ORDER BY 2 LIMIT 500")
 add("batched_lookup", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 add("pushed_filter", "SELECT o_orderkey AS id FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' AND o_orderstatus IN ('F', 'O')")
-add("title_lookup", f"SELECT w.id AS ord, k.id FROM works w JOIN (SELECT {norm('title')} AS k, min(id) AS id FROM works WHERE {norm('title')} <> '' GROUP BY 1) k ON k.k = {norm('w.title')} WHERE w.id % 37 = 0")
+add("title_lookup", f"SELECT w.id AS ord, k.id FROM works w JOIN (SELECT {plain('title')} AS k, min(id) AS id FROM works WHERE {plain('title')} <> '' GROUP BY 1) k ON k.k = {plain('w.title')}")
 add("fallback_sources", "SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey % 2 = 0")
 add("store_counts", "SELECT count(*) AS works, count(*) FILTER (is_baseline) AS baseline, count(*) FILTER (NOT is_baseline) AS candidates FROM works")
 add("stream_upsert", "SELECT user_id, max(event_id) AS event_id, max_by(value, event_id) AS value FROM events GROUP BY 1")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from perigee.functions import scoring, text
 from perigee.operators import authorship, calibration, feed, filters, gates, peers, resolve, state, vectors
-from perigee.params import ANCHORS, QueryParams, top_fraction
+from perigee.params import QueryParams, top_fraction
 from perigee.plans import novelty as plan
 from perigee.plans import views
 from perigee.session import table
@@ -79,8 +79,8 @@ def arxiv_id_extract(spark, d):
 
 @query
 def abstract_from_index(spark, d):
-    """Rebuilds the first 40 words of each text from an inverted index made of them."""
-    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", r"\s+"), 1, 40)).alias("p", "w")).where("w <> ''")
+    """Rebuilds each text's words from an inverted index made of them."""
+    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("p", "w")).where("w <> ''")
     index = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
     return index.select("doc_id", text.abstract_from_index(F.col("index")).alias("text"))
 
@@ -217,7 +217,8 @@ def authorship_score(spark, d):
 
 @query
 def author_roster(spark, d):
-    a = views.authors(spark, d)
+    named = F.expr("CASE cast(substr(author_id, 2) AS long) % 7 WHEN 0 THEN 'Jürgen SCHMIDHUBER' WHEN 1 THEN ' yann  le-cun' WHEN 2 THEN 'YANN LÉCUN' ELSE name END")
+    a = views.authors(spark, d).withColumn("name", named)
     return authorship.roster(a, 6, 1200.0).select("author_id", "name", F.col("h_index").cast("long").alias("h_index"), F.col("cited_by").cast("double").alias("cited_by"))
 
 
@@ -335,7 +336,7 @@ def interest_match(spark, d):
 @query
 def initials_match(spark, d):
     c = table(spark, d, "conversations")
-    return c.select("conv_id", "turn", F.rlike(text.search_text_ascii(F.col("text")), F.lit(filters.initials_pattern("ota"))).alias("matched"))
+    return c.select("conv_id", "turn", F.rlike(text.search_text(F.col("text")), F.lit(filters.initials_pattern("ota"))).alias("matched"))
 
 
 # resolution and sets
@@ -346,7 +347,7 @@ def entity_resolution(spark, d):
     w = views.works(spark, d)
     names = F.expr("CASE WHEN id % 10 = 9 THEN cast(array() as array<string>) ELSE array(language, '', concat('b', 1)) END")
     doi = F.expr("CASE WHEN id % 20 = 9 THEN concat('https://doi.org/10.1/', id % 50) END")
-    key = resolve.paper_key(text.search_text_ascii(F.col("title")), names, doi, F.when(F.expr("id % 40 = 19"), F.col("preprint_id")), F.col("id"))
+    key = resolve.paper_key(text.search_text(F.col("title")), names, doi, F.when(F.expr("id % 40 = 19"), F.col("preprint_id")), F.col("id"))
     g = views.works(spark, d).select("id", "abstract", "date", F.col("first_release").alias("released"), key.alias("key"), F.expr("cast(id % 100 as double)").alias("novelty"), F.expr("cast(id % 37 as double)").alias("authorship"), F.expr("cast(id % 53 as double)").alias("discovery"), F.expr("concat('S', id % 3)").alias("source_name"), F.expr("concat('http://x/', id % 2)").alias("source_url"))
     out = resolve.group_papers(g)
     return out.select("key", "best_id", F.col("n_dups").cast("long").alias("n_dups"), F.col("min_date").cast("string").alias("min_date"), F.col("first_release").cast("string").alias("first_release"), "novelty", "authorship", "discovery", "score_source_id", F.size("sources").cast("long").alias("n_sources"), F.array_join("ids", ",").alias("ids"))
@@ -485,8 +486,89 @@ def unread_badge(spark, d):
 
 @query
 def window_horizon(spark, d):
-    """Selectivity anchors as rows: what a slider shows."""
-    return spark.createDataFrame([(int(v), float(f)) for v, f in ANCHORS], "value long, top_fraction double")
+    """How far back a feed may look, and how many windows it offers, for depths and indexed spans of all sizes."""
+    c = table(spark, d, "customer").select("c_custkey", F.expr("1 + c_custkey % 90").alias("depth"), F.expr("CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 120 END").alias("indexed"))
+    h = feed.horizon(F.col("depth"), F.col("indexed"))
+    return c.select("c_custkey", h.cast("long").alias("horizon"), feed.windows_offered(F.col("depth")).cast("long").alias("n_windows"))
+
+
+# the whole chain: scores, gates, feed, inbox
+
+
+def _scored_gate(spark, d):
+    return gates.gated(feed.within(views.scored_rows(spark, d), views.AS_OF, 90), 30, 30)
+
+
+@query
+def feed_scored(spark, d):
+    f = feed.page(_scored_gate(spark, d), "balanced", 0, 100)
+    return f.select(F.col("id").alias("doc_id"), F.col("first_release").cast("string").alias("first_release"), "novelty", "authorship", "discovery", "override")
+
+
+@query
+def feed_scored_report(spark, d):
+    return feed.page_report(_scored_gate(spark, d), 20, 40).select(F.col("total").cast("long").alias("total"), "has_more")
+
+
+@query
+def inbox_scored(spark, d):
+    new = _scored_gate(spark, d).select(F.col("id").alias("work_id"), F.lit(True).alias("unread"), (-F.col("discovery")).alias("place"))
+    old = views.works(spark, d).where("id % 11 = 0").select(F.col("id").alias("work_id"), F.expr("id % 2 = 0").alias("unread"), F.col("id").cast("double").alias("place"))
+    return state.inbox(new, old).select("work_id", "unread")
+
+
+# what is shown
+
+
+@query
+def evidence_lines(spark, d):
+    w = views.works(spark, d)
+    names = F.expr("slice(array('A. One', 'B. Two', 'C. Three', 'D. Four', 'E. Five', 'F. Six'), 1, cast(id % 7 as int))")
+    near, sim = F.expr("CASE WHEN id % 5 <> 0 THEN title END"), F.expr("cast(id % 997 as double) / 1000.0D")
+    top, h, cited, n = F.expr("CASE WHEN id % 3 <> 0 THEN concat('N', id % 9) END"), F.expr("id % 80"), F.expr("id * id * 37 % 5000000"), F.expr("id % 300")
+    lines = text.evidence_lines(F.expr("id % 321"), near, sim, F.expr("cast(id % 101 as double) / 101.0D"), top, cited, n, F.expr("CASE id % 2 WHEN 0 THEN 'first' ELSE 'last' END"))
+    marks = text.found_markers(F.expr("concat(title, CASE id % 4 WHEN 0 THEN ' improved benchmarking' ELSE '' END)"), F.lit(""))
+    return w.select(F.col("id").alias("doc_id"), text.author_line(names).alias("author_line"), text.why_line(near, sim, top, h, marks).alias("why_line"), F.array_join(lines, "|").alias("evidence"))
+
+
+@query
+def progress_text(spark, d):
+    from perigee.operators import progress
+
+    e = table(spark, d, "events")
+    lane = F.expr("CASE event_id % 3 WHEN 0 THEN concat('lane ', user_id % 4) END")
+    phase = F.expr("CASE event_id % 4 WHEN 0 THEN NULL ELSE event_type END")
+    status = F.expr("CASE event_id % 10 WHEN 0 THEN 'ready' ELSE 'running' END")
+    fetched, total = F.expr("CASE WHEN event_id % 6 <> 5 THEN event_id * 7 END"), F.expr("CASE WHEN event_id % 2 = 0 THEN event_id * 9 END")
+    return e.select("event_id", progress.describe(status, phase, lane, fetched, total).alias("text"))
+
+
+@query
+def progress_states(spark, d):
+    """Per user: the states that are written (750 ms apart at least), whether the run has stalled, and its status
+    after a restart."""
+    from perigee.operators import progress
+
+    e = table(spark, d, "events").select("user_id", "event_id", "ts", F.expr("CASE event_id % 5 WHEN 0 THEN 'ready' ELSE 'running' END").alias("status"))
+    return progress.summary(e, F.lit("2030-01-01").cast("timestamp_ntz")).select("user_id", F.col("written").cast("long").alias("written"), "status", "stalled", "recovered")
+
+
+@query
+def rescore_population(spark, d):
+    w = views.candidates(views.works(spark, d)).select("id", F.expr("CASE id % 5 WHEN 0 THEN 2 WHEN 1 THEN NULL ELSE 3 END").alias("score_version"), F.expr("concat('s', id % 3)").alias("signature"))
+    new = w.where("id % 4 = 0")
+    return state.to_rescore(new, w, 3, "s1").select(F.col("id").alias("doc_id"), "is_new")
+
+
+@query
+def code_mapping(spark, d):
+    from perigee.sources.taxonomy import map_codes
+
+    listing = table(spark, d, "part").select(F.expr("concat('g', p_partkey % 6)").alias("group_id"), F.expr("concat('c', p_partkey)").alias("code"))
+    codes = table(spark, d, "supplier").select(F.expr("concat('c', s_suppkey * 2)").alias("code"), F.expr("CASE s_suppkey % 3 WHEN 0 THEN cast(s_suppkey % 40 as string) ELSE cast(1000 + s_suppkey as string) END").alias("target"))
+    groups = table(spark, d, "region").select(F.expr("concat('g', r_regionkey)").alias("group_id"), F.expr("cast(10 + r_regionkey as string)").alias("field_id"))
+    out = map_codes(listing, codes, groups)
+    return out.select("group_id", "code", F.array_join("field_ids", ",").alias("field_ids"), F.array_join("subfield_ids", ",").alias("subfield_ids"))
 
 
 # sources
@@ -527,7 +609,7 @@ def pushed_filter(spark, d):
 def title_lookup(spark, d):
     from perigee.sources.scan import title_lookup as find
 
-    wanted = views.works(spark, d).where("id % 37 = 0").select(F.concat(F.lit("  "), "title", F.lit(" !")).alias("title"), F.col("id").alias("ord"))
+    wanted = views.works(spark, d).select(F.concat(F.lit("  "), "title", F.lit(" !")).alias("title"), F.col("id").alias("ord"))
     return find(views.works(spark, d).select("id", "title"), wanted).select("ord", "id")
 
 

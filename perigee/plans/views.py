@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perigee.functions.text import first_release, search_text_ascii
+from perigee.functions.text import first_release, search_text
 from perigee.operators.authorship import h_index
 from perigee.session import table
 
@@ -78,6 +78,17 @@ def gate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Works with ASCII search texts of title and abstract."""
+    """Works with search texts of title and abstract."""
     w = works(spark, sf_dir)
-    return w.select("id", "language", "subfield", "domain", search_text_ascii(F.col("title")).alias("title"), search_text_ascii(F.col("abstract")).alias("abstract"))
+    return w.select("id", "language", "subfield", "domain", search_text(F.col("title")).alias("title"), search_text(F.col("abstract")).alias("abstract"))
+
+
+def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with the scores of the whole plan, to six places, and whether a roster author overrides."""
+    from perigee.operators.authorship import on_roster, roster
+    from perigee.plans.novelty import discovery
+
+    w, a, people = works(spark, sf_dir), authorships(spark, sf_dir), authors(spark, sf_dir)
+    n = discovery(w, a, people).select(F.col("cand_id").alias("id"), F.round("novelty", 6).alias("novelty"), F.round("authorship", 6).alias("authorship"), F.round("discovery", 6).alias("discovery"))
+    hit = on_roster(a, roster(people, 8, 1500.0)).withColumn("override", F.lit(True))
+    return n.join(w.select("id", "first_release"), "id").join(hit, "id", "left").withColumn("override", F.coalesce("override", F.lit(False)))

@@ -101,7 +101,9 @@ class PagedReader(DataSourceReader):
             with open(f"{partition.path}/{'first' if cursor == '*' else cursor}.json") as f:
                 return json.load(f)
 
-        for r in cursor_pages(fetch, Budget(self.cap), self.limit, self.search):
+        # the cap is the run's: lanes don't know of each other, so each may spend its share
+        own = Budget(None if self.cap is None else self.cap / len(self.paths))
+        for r in cursor_pages(fetch, own, self.limit, self.search):
             yield str(r.get("id")), json.dumps(r)
 
 

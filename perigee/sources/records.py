@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perigee.functions.text import abstract_from_index, arxiv_id, clean_abstract, clean_label, clean_title, first_release, short_id
+from perigee.functions.text import arxiv_id, clean_abstract_from_index, clean_label, clean_title, first_release, short_id
 
 LEVEL = "STRUCT<id: STRING, display_name: STRING>"
 TOPIC = f"STRUCT<id: STRING, display_name: STRING, score: DOUBLE, subfield: {LEVEL}, field: {LEVEL}, domain: {LEVEL}>"
@@ -52,7 +52,7 @@ def normalize_works(raw: DataFrame, as_of: date, baseline: bool = False) -> Data
     out = raw.select(
         short_id(F.col("id")).alias("id"),
         clean_title(F.coalesce("title", "display_name")).alias("title"),
-        clean_abstract(abstract_from_index(F.col("abstract_inverted_index"))).alias("abstract"),
+        clean_abstract_from_index(F.to_json("abstract_inverted_index")).alias("abstract"),
         "language",
         day.alias("date"),
         "doi",

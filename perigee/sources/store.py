@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from perigee.operators.resolve import last_wins
+
 
 class Store:
     def __init__(self, spark: SparkSession, path: str):
@@ -38,8 +40,8 @@ class Store:
         self.spark.createDataFrame([(table, version, seq)], "table string, version string, seq long").coalesce(1).write.mode("append").json(f"{self.path}/_current")
 
     def put(self, table: str, rows: DataFrame, key: str) -> None:
-        """Whole rows replaced by key; of equal keys in `rows` any one stays."""
-        rows = rows.dropDuplicates([key])
+        """Whole rows replaced by key; of equal keys in `rows` the last one stays, in the order of the rows."""
+        rows = last_wins(rows.withColumn("__order", F.monotonically_increasing_id()), key, "__order").drop("__order")
         old = self.read(table)
         self.write(table, rows if old is None else old.join(rows.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True))
 

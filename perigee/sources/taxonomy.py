@@ -23,6 +23,20 @@ def uncovered(fields: DataFrame, mapping: DataFrame) -> DataFrame:
     return fields.join(mapping.select("field_id").distinct(), "field_id", "left_anti")
 
 
+def map_codes(listing: DataFrame, codes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group_id, code, field_ids, subfield_ids) of a listing: a code's own targets (ids of one or two digits are
+    fields, longer ones subfields); without any, the fields of its group. codes: code, target; groups: group_id,
+    field_id."""
+    is_field = F.length("target") <= 2
+    sorted_ids = lambda c: F.array_sort(F.collect_set(c))
+    own = codes.groupBy("code").agg(sorted_ids(F.when(is_field, F.col("target"))).alias("own_fields"), sorted_ids(F.when(~is_field, F.col("target"))).alias("own_subfields"))
+    of_group = groups.groupBy("group_id").agg(sorted_ids("field_id").alias("group_fields"))
+    none = F.array().cast("array<string>")
+    both = listing.join(own, "code", "left").join(of_group, "group_id", "left")
+    fields = F.when(F.size(F.coalesce("own_fields", none)) + F.size(F.coalesce("own_subfields", none)) > 0, F.col("own_fields")).otherwise(F.coalesce("group_fields", none))
+    return both.select("group_id", "code", fields.alias("field_ids"), F.coalesce("own_subfields", none).alias("subfield_ids"))
+
+
 # The markup of the scraped listing.
 HEADING = r'(?is)<h2 class="accordion-head"[^>]*id="accordion-head-grp_([^"]+)".*?<button[^>]*>.*?<span[^>]*>.*?</span>\s*([^<]+?)\s*</button>.*?</h2>'
 CATEGORY = r"(?i)<h4>([^ <]+)\s*<span>\(([^<]+)\)</span></h4>"
