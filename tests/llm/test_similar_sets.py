@@ -55,11 +55,16 @@ def test_pairs_about_the_bound_as_brute_force(spark):
     assert kept(spark, rows) == want
 
 
-def test_counts_of_common_hashes():
+def test_differing_bits_bound_the_sets_difference():
     rng = np.random.default_rng(1)
-    x = [np.unique(rng.integers(0, 9000, n).astype("<u8")) for n in (1, 50, 4000, 8000)]
-    want = [[len(np.intersect1d(p, q)) for q in x[1:]] for p in x]
-    assert similar_sets.common_counts(x, x[1:]).tolist() == want
+    base = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base[: rng.integers(1, 900)], rng.integers(0, 1 << 63, rng.integers(1, 500), dtype=np.uint64)))) for _ in range(40)]
+    bits = np.array([np.frombuffer(similar_sets.parity(x), "<u8") for x in sets])
+    off = similar_sets.differing(bits[:33], bits)
+    for i in range(33):
+        for j in range(40):
+            assert off[i, j] <= len(np.setxor1d(sets[i], sets[j]))
+    assert (off.diagonal() == 0).all()
 
 
 def test_large_groups_of_texts_under_the_bound_as_brute_force(spark):
