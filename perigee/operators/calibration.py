@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from perigee.functions.text import title_phrases
+from perigee.operators.ranks import running
 from perigee.operators.similarity import crowdedness, similarities
 
 SAMPLE = 90
@@ -45,8 +46,7 @@ def standing(stats: DataFrame, measured: DataFrame) -> DataFrame:
     """(cand_id, crowd_standing, distinct_standing): 0.9 of the share of the field that is less novel.
 
     The field is the sample and all candidates of the group; groups with a sample under four have none.
-    Ranks are computed on sorted counts of distinct values: values are counted before they are ranked, so a
-    window holds a row per distinct value. Values are rounded to nine places first: sums of the same terms in
+    Values are counted before they are ranked, and ranked range by range, so no task holds a group. Values are rounded to nine places first: sums of the same terms in
     another order must tie.
     """
     nine = lambda df: df.withColumns({c: F.round(c, 9) for c in ("crowding", "distinctiveness")})
@@ -54,14 +54,13 @@ def standing(stats: DataFrame, measured: DataFrame) -> DataFrame:
     enough = stats.groupBy("group_key").agg(F.count(F.lit(1)).alias("n_sample")).where(F.col("n_sample") >= LEAST).select("group_key")
     field = stats.select("group_key", "crowding", "distinctiveness").unionByName(measured.select("group_key", "crowding", "distinctiveness")).join(enough, "group_key", "left_semi")
 
-    def ranks(column: str, order, name: str) -> DataFrame:
+    def ranks(column: str, descending: bool, name: str) -> DataFrame:
         counted = field.groupBy("group_key", column).agg(F.count(F.lit(1)).alias("n"))
-        w = Window.partitionBy("group_key")
-        below = F.coalesce(F.sum("n").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return counted.select("group_key", column, (F.lit(0.9) * below / F.sum("n").over(w)).alias(name))
+        ranked = running(counted, column, "n", ["group_key"], descending)
+        return ranked.select("group_key", column, (F.lit(0.9) * F.col("before") / F.col("total")).alias(name))
 
-    crowd = ranks("crowding", F.desc("crowding"), "crowd_standing")
-    distinct = ranks("distinctiveness", F.asc("distinctiveness"), "distinct_standing")
+    crowd = ranks("crowding", True, "crowd_standing")
+    distinct = ranks("distinctiveness", False, "distinct_standing")
     both = measured.join(crowd, ["group_key", "crowding"], "left").join(distinct, ["group_key", "distinctiveness"], "left")
     return both.select("cand_id", "crowd_standing", "distinct_standing")
 

@@ -5,20 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from perigee.operators.ranks import cell_sums, with_cells
 from perigee.params import top_fraction
 
 
+def cutoffs(rows: DataFrame, column: str, fractions: list[float], by: list[str] | None = None) -> DataFrame:
+    """(by..., fraction, cutoff): the value at rank max(1, ceil(n * fraction)) of the descending order; -Infinity for
+    a fraction that keeps all.
+
+    Values are counted, counts are summed over ranges of values, and only the range that holds a rank is sorted.
+    """
+    by = by or []
+    counted = rows.groupBy(*by, F.coalesce(column, F.lit(0.0)).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    placed = with_cells(counted, "v", by)
+    cells = cell_sums(placed, "n", by, descending=True)
+    asked = cells.withColumn("fraction", F.explode(F.array(*map(F.lit, fractions))))
+    keep = F.greatest(F.lit(1.0), F.ceil(F.col("total") * F.col("fraction")).cast("double"))
+    hit = asked.withColumn("keep", keep).where("ahead < keep AND keep <= ahead + own").select(*by, "cell", "fraction", "keep", "ahead")
+    w = Window.partitionBy(*by, "fraction").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.join(hit, [*by, "cell"]).withColumn("through", F.col("ahead") + F.sum("n").over(w))
+    cut = F.when(F.col("fraction") >= 0.999, F.lit(float("-inf"))).otherwise(F.max(F.when(F.col("through") >= F.col("keep"), F.col("v"))))
+    return ranked.groupBy(*by, "fraction").agg(cut.alias("cutoff"))
+
+
 def cutoff(rows: DataFrame, column: str, fraction: float, by: list[str] | None = None) -> DataFrame:
-    """(by..., cutoff): the value at rank max(1, ceil(n * fraction)) of the descending order; -Infinity for a
-    fraction that keeps all. Values are counted first, so the ranking window runs over distinct values."""
+    """(by..., cutoff) of one fraction; without rows and groups one null (or -Infinity)."""
     by = by or []
     if fraction >= 0.999:
         return rows.groupBy(*by).agg(F.lit(float("-inf")).alias("cutoff"))
-    counted = rows.groupBy(*by, F.coalesce(column, F.lit(0.0)).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    through = F.sum("n").over(w.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0))
-    keep = F.greatest(F.lit(1.0), F.ceil(F.sum("n").over(w) * F.lit(fraction)).cast("double"))
-    return counted.select(*by, "v", (through >= keep).alias("there")).where("there").groupBy(*by).agg(F.max("v").alias("cutoff"))
+    return cutoffs(rows, column, [fraction], by).groupBy(*by).agg(F.max("cutoff").alias("cutoff"))
 
 
 def dual_gate(novelty: Column, authorship: Column, override: Column, cut_n: Column, cut_a: Column, select_n: float, select_a: float) -> Column:

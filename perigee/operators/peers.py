@@ -36,24 +36,36 @@ def members(refs: DataFrame, groups: DataFrame) -> DataFrame:
     return each.join(used, "group_key", "left_semi").select("group_key", "id", "date")
 
 
-def eligible(group_members: DataFrame, cands: DataFrame, most: int = 320) -> DataFrame:
-    """Members that can be among any candidate's first `most` older peers.
+def _first(rows: DataFrame, by: list[str], most: int) -> DataFrame:
+    """The `most` least ids of each group; tasks cut their own rows to that number before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("id"))
+    return rows.withColumn("place", place).where(F.col("place") <= most).drop("place")
 
-    Those older than a group's oldest candidate are peers of all its candidates, so whoever stands behind
-    `most` of them in reference order is nobody's peer. This cuts every group to little more than `most`
-    rows before pairs are made, and pairs grow with the candidates alone.
+
+def older_lists(group_members: DataFrame, cands: DataFrame, most: int = 320) -> DataFrame:
+    """(group_key, cand_date, id): the first `most` members of a group, in id order, that are older than a date, for
+    each date of the group's candidates.
+
+    Nobody behind `most` others of one day or month can be on a list, so days and months are cut first, and what is
+    joined is bounded by the number of dates, not of members: whole months before a date's own, and its own by days.
     """
-    oldest = cands.groupBy("group_key").agg(F.min("date").alias("oldest"))
-    w = Window.partitionBy("group_key").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.coalesce(F.sum((F.col("date") < F.col("oldest")).cast("int")).over(w), F.lit(0))
-    return group_members.join(oldest, "group_key").withColumn("ahead", ahead).where(F.col("ahead") < most).select("group_key", "id", "date")
+    dated = group_members.where("date IS NOT NULL").withColumn("month", F.trunc("date", "month"))
+    per_day = _first(dated, ["group_key", "date", "month"], most)
+    per_month = _first(per_day.drop("date"), ["group_key", "month"], most)
+    asked = cands.where("date IS NOT NULL").select("group_key", F.col("date").alias("cand_date")).distinct()
+    asked = asked.withColumn("cand_month", F.trunc("cand_date", "month"))
+    months = asked.select("group_key", "cand_month").distinct()
+    before = _first(months.join(per_month, "group_key").where("month < cand_month"), ["group_key", "cand_month"], most)
+    whole = asked.join(before, ["group_key", "cand_month"]).select("group_key", "cand_date", "id")
+    own = asked.join(per_day.withColumnRenamed("month", "cand_month"), ["group_key", "cand_month"]).where("date < cand_date").select("group_key", "cand_date", "id")
+    return _first(whole.unionByName(own), ["group_key", "cand_date"], most)
 
 
-def pairs(cands: DataFrame, able: DataFrame, most: int = 320) -> DataFrame:
-    """(cand_id, ref_id, group_key, ord): the first `most` older members of a candidate's group."""
+def pairs(cands: DataFrame, group_members: DataFrame, most: int = 320) -> DataFrame:
+    """(cand_id, ref_id, group_key, ord): the first `most` older members of a candidate's group, itself left out."""
     c = cands.select(F.col("id").alias("cand_id"), "group_key", F.col("date").alias("cand_date"))
-    r = able.select(F.col("id").alias("ref_id"), "group_key", F.col("date").alias("ref_date"))
-    both = c.join(r, "group_key").where("ref_date < cand_date AND ref_id <> cand_id")
+    lists = older_lists(group_members, cands, most + 1).withColumnRenamed("id", "ref_id")
+    both = c.join(lists, ["group_key", "cand_date"]).where("ref_id <> cand_id")
     w = Window.partitionBy("cand_id").orderBy("ref_id")
     return both.select("cand_id", "ref_id", "group_key", F.row_number().over(w).alias("ord")).where(F.col("ord") <= most)
 

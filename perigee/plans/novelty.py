@@ -39,8 +39,7 @@ def parts(works: DataFrame, least_peers: int = 20, most_peers: int = 320, keep:
     idf = vectors.idf(tf, vectors.corpus_size(works))
     idf = materialize(idf) if keep else idf
     vec = vectors.weights(tf, idf)
-    able = peers.eligible(peers.members(refs, groups), c, most_peers)
-    chosen = peers.pairs(c, able, most_peers)
+    chosen = peers.pairs(c, peers.members(refs, groups), most_peers)
     chosen = materialize(chosen) if keep else chosen
     norm = vectors.norms(vec)
     norm = materialize(norm) if keep else norm

@@ -250,11 +250,10 @@ def discovery_score(spark, d):
 @query
 def selectivity_cutoffs(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_totalprice").alias("v"))
-    out = None
-    for s in (1, 10, 20, 40, 55, 60, 80, 90, 95, 100):
-        one = gates.cutoff(rows, "v", top_fraction(s)).select(F.lit(s).cast("long").alias("selectivity"), F.lit(round(top_fraction(s), 6)).alias("fraction"), F.when(F.col("cutoff") > F.lit(float("-inf")), F.col("cutoff")).alias("cutoff"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    steps = (1, 10, 20, 40, 55, 60, 80, 90, 95, 100)
+    asked = F.explode(F.array(*[F.struct(F.lit(s).cast("long").alias("selectivity"), F.lit(top_fraction(s)).alias("of")) for s in steps]))
+    each = gates.cutoffs(rows, "v", sorted({top_fraction(s) for s in steps})).select("fraction", "cutoff", asked.alias("s")).where("fraction = s.of")
+    return each.select("s.selectivity", F.round("fraction", 6).alias("fraction"), F.when(F.col("cutoff") > F.lit(float("-inf")), F.col("cutoff")).alias("cutoff"))
 
 
 @query
