@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from perigee.functions.text import title_phrases
 from perigee.operators.ranks import running
-from perigee.operators.similarity import crowdedness, similarities
+from perigee.operators.similarity import block_similarities, crowdedness
 
 SAMPLE = 90
 LEAST = 4
@@ -24,13 +24,14 @@ def field_sample(cands: DataFrame, chosen: DataFrame, most: int = SAMPLE) -> tup
     return peers, picked.select("group_key", "id", "n_list")
 
 
-def sample_statistics(peers: DataFrame, picked: DataFrame, vec: DataFrame, norm: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(group_key, id, crowding, distinctiveness) of the sampled peers, each against the rest of its list."""
+def sample_statistics(peers: DataFrame, picked: DataFrame, vectors: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(group_key, id, crowding, distinctiveness) of the sampled peers, each against the rest of its list; vectors are
+    packed ones."""
     keyed = F.concat_ws("/", "group_key", "id")
     mine = picked.select(keyed.alias("cand_id"), F.col("id").alias("own"), "group_key", "n_list")
     others = mine.join(peers.select("group_key", F.col("id").alias("ref_id"), "ord"), "group_key").where("ref_id <> own").select("cand_id", "ref_id", "group_key", "ord")
-    left = mine.select(F.col("cand_id").alias("id"), "own").join(vec.withColumnRenamed("id", "own"), "own").select("id", "term", "w")
-    sims = similarities(others, left, vec)
+    left = mine.select("cand_id", "own").join(vectors.withColumnRenamed("id", "own"), "own").select(F.col("cand_id").alias("id"), "terms", "weights")
+    sims = block_similarities(others, left, vectors)
     counts = mine.select("cand_id", (F.col("n_list") - 1).alias("n_peers"))
     crowd = crowdedness(counts, sims).select("cand_id", "crowding")
     return mine.join(crowd, "cand_id").join(distinct.select(F.col("id").alias("own"), "distinctiveness"), "own").select("group_key", F.col("own").alias("id"), "crowding", "distinctiveness")
@@ -66,10 +67,12 @@ def standing(stats: DataFrame, measured: DataFrame) -> DataFrame:
 
 
 def phrase_rarity(works: DataFrame, cands: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(cand_id, rarity): how many of a title's phrases no peer's title has, from 0 to 1; 0.5 without any."""
-    phrases = works.select("id", F.explode(title_phrases(F.col("title"))).alias("phrase"))
+    """(cand_id, rarity): how many of a title's phrases no peer's title has, from 0 to 1; 0.5 without any.
+    Phrases are compared by 64-bit hashes, as each candidate meets those of all its peers."""
+    phrases = works.select("id", F.explode(title_phrases(F.col("title"))).alias("words")).select("id", F.xxhash64("words").alias("phrase"))
     mine = cands.select("id").join(phrases, "id").groupBy("id", "phrase").agg(F.count(F.lit(1)).alias("times")).withColumnRenamed("id", "cand_id")
-    theirs = chosen.select("cand_id", F.col("ref_id").alias("id")).join(phrases.distinct(), "id").select("cand_id", "phrase").distinct().withColumn("known", F.lit(1))
+    asked = phrases.distinct().join(mine.select("phrase").distinct(), "phrase", "left_semi")  # phrases of no candidate meet nobody
+    theirs = chosen.select("cand_id", F.col("ref_id").alias("id")).join(asked, "id").select("cand_id", "phrase").distinct().withColumn("known", F.lit(1))
     share = mine.join(theirs, ["cand_id", "phrase"], "left").groupBy("cand_id").agg((F.sum(F.when(F.col("known").isNull(), F.col("times")).otherwise(0)) / F.sum("times")).alias("u"))
     rarity = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("u") - F.lit(0.35)) / F.lit(0.65)))
     return cands.select(F.col("id").alias("cand_id")).join(share, "cand_id", "left").select("cand_id", F.coalesce(rarity, F.lit(0.5)).alias("rarity"))

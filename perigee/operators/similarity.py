@@ -80,15 +80,20 @@ def _block(names: tuple[str, ...], kinds: list):
 
 
 def similarities(chosen: DataFrame, vec: DataFrame, peers: DataFrame | None = None) -> DataFrame:
+    """block_similarities of long relations: vec is (id, term, w) of both sides; `peers` of the right side where it
+    differs."""
+    return block_similarities(chosen, packed(vec), None if peers is None else packed(peers))
+
+
+def block_similarities(chosen: DataFrame, mine: DataFrame, theirs: DataFrame | None = None) -> DataFrame:
     """(cand_id, ref_id, ord, sim) of the chosen pairs (cand_id, ref_id, group_key, ord) that share a term; the others
-    have similarity 0. vec is (id, term, w) of both sides; `peers` of the right side where it differs.
+    have similarity 0. mine are packed vectors of both sides; `theirs` of the right side where it differs.
 
     Vectors are shuffled, not products: a block of candidates of a group meets the peers that they have between them
     (which groups bound to little more than a candidate's own number), and a sparse product over their common terms
     gives all similarities of the block. Groups of any size are spread over as many blocks as they need.
     """
-    mine = packed(vec)
-    theirs = mine if peers is None else packed(peers)
+    theirs = mine if theirs is None else theirs
     lists = chosen.groupBy("group_key", "cand_id").agg(F.collect_list(F.struct("ref_id", "ord")).alias("refs"))
     sizes = lists.groupBy("group_key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_blocks"))
     placed = lists.join(sizes, "group_key").withColumn("block", F.pmod(F.xxhash64("cand_id"), F.col("n_blocks"))).drop("n_blocks")

@@ -21,7 +21,7 @@ class Parts:
     groups: DataFrame
     idf: DataFrame
     vec: DataFrame
-    norm: DataFrame
+    vectors: DataFrame
     chosen: DataFrame
     counts: DataFrame
     sims: DataFrame
@@ -39,14 +39,14 @@ def parts(works: DataFrame, least_peers: int = 20, most_peers: int = 320, keep:
     idf = vectors.idf(tf, vectors.corpus_size(works))
     idf = materialize(idf) if keep else idf
     vec = vectors.weights(tf, idf)
+    packs = similarity.packed(vec)
+    packs = materialize(packs) if keep else packs
     chosen = peers.pairs(c, peers.members(refs, groups), most_peers)
     chosen = materialize(chosen) if keep else chosen
-    norm = vectors.norms(vec)
-    norm = materialize(norm) if keep else norm
-    sims = similarity.similarities(chosen, vec)
+    sims = similarity.block_similarities(chosen, packs)
     counts = peers.peer_counts(c, chosen)
     crowd = similarity.crowdedness(counts, sims)
-    return Parts(works, c, groups, idf, vec, norm, chosen, counts, sims, materialize(crowd) if keep else crowd)
+    return Parts(works, c, groups, idf, vec, packs, chosen, counts, sims, materialize(crowd) if keep else crowd)
 
 
 def measured(p: Parts) -> DataFrame:
@@ -57,7 +57,7 @@ def measured(p: Parts) -> DataFrame:
 
 def sample(p: Parts) -> DataFrame:
     listed, picked = calibration.field_sample(p.cands, p.chosen)
-    return materialize(calibration.sample_statistics(materialize(listed), materialize(picked), p.vec, p.norm, vectors.distinctiveness(p.works, p.idf)))
+    return materialize(calibration.sample_statistics(materialize(listed), materialize(picked), p.vectors, vectors.distinctiveness(p.works, p.idf)))
 
 
 def standings(p: Parts) -> DataFrame:

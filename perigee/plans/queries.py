@@ -144,13 +144,13 @@ def reference_selection(spark, d):
 
 @query
 def nearest_peer(spark, d):
-    c = plan.parts(views.works(spark, d)).crowd
+    c = plan.parts(views.works(spark, d), keep=True).crowd
     return c.select("cand_id", "nearest_id", r6("nearest_sim", "nearest_sim"), F.col("n_peers").cast("long").alias("n_peers"))
 
 
 @query
 def crowding(spark, d):
-    return plan.parts(views.works(spark, d)).crowd.select("cand_id", r6("crowding", "crowding"))
+    return plan.parts(views.works(spark, d), keep=True).crowd.select("cand_id", r6("crowding", "crowding"))
 
 
 @query
@@ -190,7 +190,7 @@ def bridge_rarity(spark, d):
 
 @query
 def absolute_novelty(spark, d):
-    c = plan.parts(views.works(spark, d)).crowd
+    c = plan.parts(views.works(spark, d), keep=True).crowd
     return c.select("cand_id", r6(scoring.fallback_score(F.col("nearest_sim")), "fallback_score"))
 
 

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from perigee.functions.text import first_release, search_text
 from perigee.operators.authorship import h_index
-from perigee.session import table
+from perigee.session import spread, table
 
 AS_OF = date(2024, 3, 31)
 
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One work per document: three quarters of each source are the baseline, the rest are candidates."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     base = F.expr("(doc_id div 20) % 4 <> 0")
     day = F.when(base, F.date_add(F.lit(date(2022, 1, 1)), F.expr("cast(doc_id * 7919 % 900 as int)"))).otherwise(F.date_add(F.lit(date(2024, 1, 1)), F.expr("cast(doc_id * 7919 % 90 as int)")))
     preprint = F.expr("""CASE doc_id % 3 WHEN 0 THEN concat(lpad(20 + doc_id % 5, 2, '0'), lpad(1 + doc_id % 14, 2, '0'), '.', lpad(doc_id % 100000, 5, '0'))

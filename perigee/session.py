@@ -36,6 +36,13 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """A scan's rows by hash of the key where it has fewer splits than the session has cores; as they are where it
+    has enough."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cuts a lineage that others read several times, with a reliable checkpoint in the folder that the session
     names in spark.checkpoint.dir (one of our own only where it names none)."""
