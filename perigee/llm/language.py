@@ -110,7 +110,7 @@ class Words:
         out[self.letters == 0] = 0
         latin = m.scripts.get("latin", frozenset())
         if 0 < len(latin) < len(m.langs):
-            out[:, [i for i in range(len(m.langs)) if i not in latin]] += NEVER
+            out[np.ix_(self.letters > 0, [i for i in range(len(m.langs)) if i not in latin])] += NEVER
         if _WIDE.search(self.raw):
             wide = np.flatnonzero(np.add.reduceat(np.frombuffer(self.raw, np.uint8) >= 0xCD, self.start, dtype=np.int64))
             for k in wide:
