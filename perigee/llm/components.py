@@ -17,9 +17,9 @@ def _with_min(pairs: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for each node of an edge list; root is the least node of the component.
 
-    Each round joins every larger neighbour to the least neighbour, then every smaller neighbour; the edge
-    list never grows beyond its first size, and rounds go with the logarithm of the diameter; they end when a round changes no edge. Each round
-    ends in a reliable checkpoint, so a lost executor costs one round at most.
+    Each round joins every larger neighbour to the least neighbour, then every smaller neighbour; the edge list never
+    grows beyond its first size, and rounds go with the logarithm of the diameter. They end when one changes no edge.
+    Each ends in a reliable checkpoint, so a lost executor costs one round at most.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
     e = materialize(e)
