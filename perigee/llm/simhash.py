@@ -23,11 +23,15 @@ from pyspark.sql import functions as F
 
 from perigee.llm.components import connected_components
 from perigee.llm.shared import LOWER, KeySet, bytes_of, materialize, mix, only_one, written
-from perigee.llm.similar_sets import packed, similar_components, then
+from perigee.llm.similar_sets import packed, similar_components
 
 NO_ID = (1 << 63) - 1
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 15
+#: Bits by which fingerprints of likely near copies differ at most: with one half of 32 bits within 2.
+HALVES_RADIUS = 5
+#: Fingerprints before it that one is compared with, in each variant; and pairs of it that are given out.
+COMPARED = 4
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -100,6 +104,39 @@ def ball_links(fps: DataFrame, radius: int, bits: int = 64) -> DataFrame:
     return chained.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
+def half_ball_links(fps: DataFrame, radius: int = HALVES_RADIUS, compared: int = COMPARED) -> DataFrame:
+    """Links (a, b), a the smaller, of distinct values of column fp that differ in `radius` bits (5 at most).
+
+    One half of 32 bits of such a pair lies within 2 bits, so the two share a variant of that half. Here the members
+    of a variant may differ in the other half, so each is compared with the `compared` before it, on all bits. Of each
+    value come as many links, those of the fewest bits, so a large group of close values gives a few links for each.
+    A value of `compared` neighbours at most, in each variant and in all, gets all its links; those that others
+    don't get are left to the caller.
+    """
+    if radius > HALVES_RADIUS:
+        raise ValueError(f"the radius must be {HALVES_RADIUS} at most")
+    low, high = F.col("fp").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned("fp", 32)
+    of_high = F.transform(ball(high, 32, 1), lambda x: x.bitwiseOR(F.lit(1 << 32)))
+    near = fps.select("fp").distinct().select("fp", F.explode(F.concat(ball(low, 32, 1), of_high)).alias("variant"))
+    w = Window.partitionBy("variant").orderBy("fp")
+    before = near.select("fp", F.array(*[F.lag("fp", i).over(w) for i in range(1, compared + 1)]).alias("before"))
+    within = F.filter("before", lambda x: F.bit_count(x.bitwiseXOR(F.col("fp"))) <= radius)
+    found = before.select(F.col("fp").alias("b"), F.explode(within).alias("a"))
+    closest = F.array_sort(F.collect_set(F.struct(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("off"), "a")))
+    return found.groupBy("b").agg(F.slice(closest, 1, compared).alias("links")).select(F.explode("links").alias("x"), "b").select("x.a", "b")
+
+
+def likely_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different nodes of the rows (node, fp): the least node of a fingerprint with its others, and
+    with the least ones of the fingerprints about it."""
+    rows = rows.select("fp", "node").distinct()
+    least = written(rows.groupBy("fp").agg(F.min("node").alias("least")))
+    x, y = (least.select(F.col("fp").alias(n), F.col("least").alias(f"of_{n}")) for n in "ab")
+    linked = half_ball_links(least).join(x, "a").join(y, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    pairs = rows.join(least, "fp").select(F.col("least").alias("a"), F.col("node").alias("b")).unionByName(linked)
+    return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) per row: components of fingerprints within `radius` bits."""
     rows = materialize(sketch(docs, shingle, 1, id_col, text_col).select("id", F.col("fps")[0].alias("fp")))
@@ -118,16 +155,22 @@ def flips_at(similarity: float) -> float:
     return math.acos(min(1.0, cos)) / math.pi
 
 
-def _set_maker(k: int) -> Callable:
+def _set_maker(k: int, sketched: bool = False) -> Callable:
     """(id, text_hash, text) to (id, text_hash, node, hashes): distinct shingle hashes, sorted, and a name made of
-    them; texts without words are left out."""
+    them; texts without words are left out. With `sketched` the fingerprint, fp, stands in place of the hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only_one("sets")
         for b in batches:
-            sets = [packed(shingle_hashes(t, k)) for t in bytes_of(b.column(2))]
+            sets, fps = [], []
+            for t in bytes_of(b.column(2)):
+                h = shingle_hashes(t, k)
+                sets.append(packed(h))
+                if sketched:
+                    fps.append(majority(h))
             names = np.array([xxhash.xxh3_64_intdigest(s) for s in sets], "<u8").view("<i8")
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names), pa.array(sets, pa.binary())], names=["id", "text_hash", "node", "hashes"])
+            last = pa.array(np.array(fps, "<u8").view("<i8")) if sketched else pa.array(sets, pa.binary())
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names), last], names=["id", "text_hash", "node", "fp" if sketched else "hashes"])
             yield out.filter(pa.array([len(s) > 0 for s in sets], pa.bool_()))
 
     return run
@@ -136,18 +179,19 @@ def _set_maker(k: int) -> Callable:
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns: the least id of each group of near copies.
 
-    Groups are the components of all pairs whose distinct shingles have the Jaccard similarity at least. A row is
-    dropped by its id and text, so another row of its id stays; of one id's near copies one text stays. Rows of a
-    null id are never dropped; texts without words are left alone.
+    Groups are the components of all pairs whose distinct shingles have the Jaccard similarity at least. Pairs come
+    from fingerprints about each other, by ball hashing, and are verified on the whole sets; a pair of the similarity
+    may differ in more bits, so pairs that these links don't join yet are then found by a prefix filter. A
+    row is dropped by its id and text, so another row of its id stays; of one id's near copies one text stays. Rows
+    of a null id are never dropped; texts without words are left alone.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     i, t = (names[docs.columns.index(c)] for c in (id_col, text_col))
     mine = docs.toDF(*names)
     text = docs[text_col].cast("binary")
     texts = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    make = _set_maker(shingle)
-    rows = written(texts.mapInArrow(then(make, lambda b: b.select([0, 1, 2])), "id long, text_hash long, node long"))
-    roots = similar_components(rows, texts, make, similarity)
+    rows = written(texts.mapInArrow(_set_maker(shingle, sketched=True), "id long, text_hash long, node long, fp long"))
+    roots = similar_components(rows, texts, _set_maker(shingle), similarity, likely=likely_pairs(rows))
     whole = rows.join(roots, "node", "left").select("id", "text_hash", F.coalesce("root", "node").alias("root"))
     least = whole.groupBy("root").agg(F.min(F.struct("id", "text_hash")).alias("least"), F.max(F.struct("id", "text_hash")).alias("most")).where("least != most")
     gone = written(whole.join(least, "root").where((F.struct("id", "text_hash") != F.col("least")) & (F.col("id") != NO_ID)).select("id", "text_hash").distinct())

@@ -271,9 +271,19 @@ def _large_group_pairs(members: DataFrame, parities: DataFrame, roots: DataFrame
     return placed.groupBy("hash", "i", "j").applyInArrow(_block_pairs(bound, best), "a long, b long").distinct()
 
 
-def similar_components(keys: DataFrame, texts: DataFrame, make: Callable, bound: float, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs (a, b) that no link joins, neither their own nor two to one node, the least that either is linked to."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m")))
+    x, y = (least.select(F.col("node").alias(n), F.col("m").alias(f"of_{n}")) for n in "ab")
+    return pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
+def similar_components(keys: DataFrame, texts: DataFrame, make: Callable, bound: float, window: int = WINDOW, block: int = BLOCK, likely: DataFrame | None = None) -> DataFrame:
     """(node, root) of the nodes that a link joins to another; root is the least node of the component.
 
+    Pairs (a, b) of `likely` are verified first; of the others only those that these links don't join yet are.
+
     make turns batches of texts (id, text_hash, text) into (id, text_hash, node, hashes): a set's name and its packed
     hashes; sets are made again for each use, as they take more room than the texts. keys has the (node, text_hash)
     of all.
@@ -291,7 +301,12 @@ def similar_components(keys: DataFrame, texts: DataFrame, make: Callable, bound:
         wide = pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b")
         return written(wide.mapInArrow(_verify(bound), "a long, b long"))
 
-    links = verified(written(found.where("hash IS NULL").select("a", "b").distinct()))
+    pairs = found.where("hash IS NULL").select("a", "b").distinct()
+    if likely is None:
+        links = verified(written(pairs))
+    else:
+        links = verified(written(likely))
+        links = links.unionByName(verified(written(_apart(pairs, links))))
     roots = connected_components(links)
     members = written(found.where("hash IS NOT NULL").select("hash", F.col("a").alias("node")).distinct())
     if members.isEmpty():

@@ -1,10 +1,11 @@
+import random
 import re
 
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from perigee.llm import simhash
+from perigee.llm import similar_sets, simhash
 from perigee.llm.components import connected_components
 
 DOCS = "doc_id long, text string, a string, fp string, id string, component_id string"
@@ -96,3 +97,35 @@ def test_components_of_a_long_path_and_a_star(spark):
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(path + star, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {1000: 1000} | {2000 + i: 1000 for i in range(300)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_half_balls_as_brute_force(spark):
+    rng = random.Random(11)
+    flipped = lambda x, n: x ^ sum(1 << i for i in rng.sample(range(64), n))
+    fps = {flipped(base, n) for base in (rng.getrandbits(64) for _ in range(200)) for n in (0, 3, 5, 6)}
+    want = {frozenset((x, y)) for x in fps for y in fps if x < y and bin(x ^ y).count("1") <= 5}
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    assert len(want) >= 400
+    assert {frozenset(x & (1 << 64) - 1 for x in r) for r in simhash.half_ball_links(df).collect()} == want
+    with pytest.raises(ValueError, match="radius"):
+        simhash.half_ball_links(df, 6)
+
+
+def test_near_copies_are_found_by_their_fingerprints(spark, monkeypatch):
+    """With a prefix filter that finds nothing; and fingerprints alone drop nothing that the sets don't confirm."""
+
+    def silent(shared, bound):
+        def run(batches):
+            for _ in batches:
+                pass
+            return iter(())
+
+        return run
+
+    monkeypatch.setattr(similar_sets, "_prefixes", silent)
+    words = [f"word{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words[:399] + ["new"]), " ".join(f"other{i}" for i in range(400)), "one text", " ".join(words[:200])]
+    df = spark.createDataFrame([(i, t, "x", "y", "z", "w") for i, t in enumerate(texts, 1)], DOCS)
+    assert sorted(r["doc_id"] for r in simhash.drop_near_copies(df).collect()) == [1, 3, 4, 5]
+    made = spark.createDataFrame([(1, 7), (2, 7), (2, 6), (3, 7 ^ (31 << 30)), (4, 7 ^ (63 << 30))], "node long, fp long")
+    assert {tuple(r) for r in simhash.likely_pairs(made).collect()} == {(1, 2), (1, 3), (3, 4)}
