@@ -20,7 +20,8 @@ table; other tokens are joined with their exact counts.
 
 The filter is broadcast in shards of at most `max_shard_bytes`: one shard up to that size, and beyond it one after
 another, each in a pass of its own over the texts that scores the bigrams whose context it holds. A score doesn't
-depend on the number of shards.
+depend on the number of shards. Workers map a shard from the file that Spark puts on their machine (see Sent), so those
+of an executor share its pages; the next call takes what earlier ones have sent from the executors.
 
 Defined results: null text is empty, and an empty text is the end token alone; tokens are the words between ASCII white
 space, A-Z lowered, then one end; without training texts every count is zero; repeated rows get equal scores; an empty
@@ -30,12 +31,15 @@ table gives an empty result; other columns are never read.
 from __future__ import annotations
 
 import math
+import mmap
+import os
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -246,7 +250,7 @@ class Shard:
     begin: np.ndarray
     bits: np.ndarray
     missed: np.ndarray  # what a bigram that was never learned counts for in expectation
-    data: bytes
+    data: bytes | memoryview
     read: np.ndarray | None = None  # M(v) by place in the table, as far as a worker has read it
 
     def has(self, seg: np.ndarray) -> np.ndarray:
@@ -298,6 +302,54 @@ class Shard:
         return out
 
 
+#: Stands before a shard's data in its broadcast.
+MARK = b"\0perigee shard data\0"
+
+
+def mapped(sent: Broadcast) -> memoryview:
+    """What follows MARK in a broadcast of bytes, in a worker: a map of the broadcast's file, in which pickle leaves
+    bytes as they are; a copy where there is no such file (Spark encrypts what it writes)."""
+    path = getattr(sent, "_path", None)
+    if path and os.path.isfile(path):
+        with open(path, "rb") as file:
+            m = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+        at = m.find(MARK, 0, 4096)
+        if at >= 0:
+            return memoryview(m)[at + len(MARK) :]
+    return memoryview(sent.value)[len(MARK) :]
+
+
+class Sent:
+    """A shard as workers get it, its data as a broadcast of its own that they map."""
+
+    def __init__(self, sc: SparkContext, shard: Shard):
+        self.data = sc.broadcast(MARK + shard.data)
+        self.about = sc.broadcast(replace(shard, data=b""))
+
+    @property
+    def value(self) -> Shard:
+        f = self.about.value
+        if not f.data:
+            f.data = mapped(self.data)
+        return f
+
+
+#: What earlier calls have broadcast, as far as frames still need it (the JVM's weak references).
+_sent: list[tuple[SparkContext, object]] = []
+
+
+def _note(sc: SparkContext, *sent: Broadcast) -> None:
+    _sent.extend((sc, sc._jvm.java.lang.ref.WeakReference(b._jbroadcast)) for b in sent)
+
+
+def _take_back(sc: SparkContext) -> None:
+    """Drops the executors' copies of earlier broadcasts; a frame that is read again gets them anew."""
+    while _sent:
+        of, ref = _sent.pop()
+        if of is sc and (old := ref.get()) is not None:
+            old.unpersist(False)
+
+
 def _slices(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     lo = size = 0
     for i, t in enumerate(texts):
@@ -467,7 +519,7 @@ def _score(shared, shard) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, f = shared.value, shard.value
         for b in batches:
-            for lo, texts in _slices(bytes_of(b.column(3))):
+            for lo, texts in _slices(bytes_of(b.column(3)), 1 << 19):
                 n = len(texts)
                 s = Stream(texts)
                 place = m.table.find(s.hash)
@@ -570,14 +622,20 @@ def score_documents(docs: DataFrame, held: Column, id_col: str = "doc_id", text_
 
     Learns from the rows that `held` doesn't mark.
     """
-    spark = docs.sparkSession
+    sc = docs.sparkSession.sparkContext
+    _take_back(sc)
     text = F.coalesce(docs[text_col].cast("binary"), F.lit(b""))
     ids = docs[id_col].cast("long")
     # a row's key is made of its own values, so it is the same in every pass; equal rows share one
     rows = docs.select(F.xxhash64(F.coalesce(ids, F.lit(0)), ids.isNull(), text).alias("key"), ids.alias("doc_id"), held.alias("held_out"), text.alias("text"))
     model, counts, filled, segments = learn(rows.where("NOT held_out").select("text"), **filter_options)
-    shared = spark.sparkContext.broadcast(model)
-    passes = [rows.mapInArrow(_score(shared, spark.sparkContext.broadcast(f)), ROW) for f in shards(filled, segments, max_shard_bytes)]
+    shared = sc.broadcast(model)
+    _note(sc, shared)
+    passes = []
+    for f in shards(filled, segments, max_shard_bytes):
+        sent = Sent(sc, f)
+        _note(sc, sent.about, sent.data)
+        passes.append(rows.mapInArrow(_score(shared, sent), ROW))
     scored = passes[0]
     for more in passes[1:]:
         scored = scored.unionByName(more)

@@ -181,3 +181,26 @@ def test_places():
     t = ngrams.Table(h[::2])
     assert (t.keys[t.find(h[::2])] == h[::2]).all() and (t.find(h[1::2]) == t.start + 1).all()
     assert (ngrams.Table(h[:0]).find(h) > 0).all()
+
+
+def test_workers_hold_no_copy_of_a_shard(spark):
+    data = np.random.default_rng(0).integers(0, 256, 64 << 20, np.uint8).tobytes()
+    sent = ngrams.Sent(spark.sparkContext, ngrams.Shard(1, 0, np.zeros(1, np.int64), np.array([8 * len(data)], np.uint64), np.zeros(1), data))
+
+    def look(_):
+        own = lambda: next(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Anonymous:"))
+        before, f = own(), sent.value
+        return [((own() - before) >> 10, zlib.crc32(f.data[: 64 << 20]), f.segments)]
+
+    grown, crc, segments = spark.sparkContext.parallelize([0], 1).mapPartitions(look).first()
+    assert (crc, segments) == (zlib.crc32(data), 1)
+    assert grown < 16  # MB; 64 or more if the worker unpickles the shard
+
+
+def test_an_older_frame_is_right_after_a_newer_call(spark):
+    df = spark.createDataFrame([(i, f"a b c{i % 9} a d{i} b") for i in range(60)], "doc_id long, text string")
+    older = ngrams.score_documents(df, held_out(F.col("doc_id"), 7, 2))
+    want = sorted(older.collect())
+    assert len(ngrams._sent) == 3  # the model, a shard and its data; what other calls sent is taken back
+    assert sorted(ngrams.score_documents(df, held_out(F.col("doc_id"), 7, 2)).collect()) == want
+    assert sorted(older.collect()) == want
