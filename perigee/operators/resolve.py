@@ -48,10 +48,11 @@ def group_papers(works: DataFrame) -> DataFrame:
     return g.withColumn("sources", F.transform(last, lambda s: F.struct(s["name"].alias("name"), s["url"].alias("url")))).drop("all_sources")
 
 
-def last_wins(rows: DataFrame, key: str | list[str], order: str) -> DataFrame:
-    """The last row of each key. An aggregate (max_by) would do with fewer columns; a window keeps them all."""
+def last_wins(rows: DataFrame, key: str | list[str], order: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The last row of each key; of rows that tie, the first by `ties`. An aggregate (max_by) would do with fewer
+    columns; a window keeps them all."""
     keys = [key] if isinstance(key, str) else key
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("__n = 1").drop("__n")
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order), *ties))).where("__n = 1").drop("__n")
 
 
 def first_wins(rows: DataFrame, key: str | list[str], order: str) -> DataFrame:
