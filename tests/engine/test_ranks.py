@@ -67,3 +67,35 @@ def test_ranking_holds_no_group_in_one_task(spark):
     plan = ranks.running(df, "v", "n", ["g"])._jdf.queryExecution().optimizedPlan().toString()
     windows = [x for x in plan.splitlines() if "Window" in x]
     assert windows and all("cell" in x or "own" in x for x in windows)
+
+
+def test_peers_are_lists_not_pairs(spark, sf_dir):
+    """Counts come from one row for each group and date: no step of the plan makes rows of pairs."""
+    from perigee.plans import novelty, views
+
+    p = novelty.parts(views.works(spark, sf_dir))
+    plan = p.counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "ref_id" not in plan
+    assert p.lists.select("group_key", "cand_date").distinct().count() == p.lists.count()
+    want = {r["cand_id"]: (r["n"], r["lo"], r["hi"]) for r in p.chosen.groupBy("cand_id").agg(F.count("*").alias("n"), F.min("ref_id").alias("lo"), F.max("ref_id").alias("hi")).collect()}
+    assert {r["cand_id"]: tuple(r)[1:] for r in p.counts.where("n_peers > 0").collect()} == want
+
+
+def test_items_that_no_peer_has(spark):
+    """Also with a candidate that is on its own list, within the first ones, at the end or behind them."""
+    r = random.Random(6)
+    members = [("a", i, DAY) for i in range(9)]
+    items = {i: {r.randrange(12) for _ in range(3)} for i in [*range(9), 100, 101]}
+    new = DAY + timedelta(days=9)
+    cands = [(i, "a", new) for i in (0, 3, 4, 8, 100)] + [(101, "a", date(2000, 1, 1)), (102, "a", None)]
+    c = spark.createDataFrame(cands, "id long, group_key string, date date")
+    rows = spark.createDataFrame([(i, x) for i, xs in items.items() for x in xs], "id long, item long")
+    for most in (3, 4, 8, 320):
+        older = peers.lists(c, spark.createDataFrame(members, "group_key string, id long, date date"), most)
+        got = {x["cand_id"]: x["u"] for x in peers.unseen_share(c, rows.withColumn("times", F.lit(1)), rows, older, most).collect()}
+        want = {}
+        for i, _, d in cands:
+            theirs = set().union(*(items[m] for m in [m for m in range(9) if m != i][:most])) if d == new else set()
+            if i in items:
+                want[i] = pytest.approx(len(items[i] - theirs) / len(items[i]))
+        assert got == want
